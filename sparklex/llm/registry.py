@@ -7,15 +7,18 @@ table.  ``ORACLES`` holds the same result in DuckDB SQL where SQL can express it
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, language_id, media, secrets, url_filter
+from . import bpe, decontaminate, language_id, licenses, media, secrets, url_filter
 from .common import table
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -24,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, ~language_id.held_out())
@@ -39,8 +46,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_secrets": op3_secrets,
     "op4_bpe": op4_bpe,
+    "op5_licenses": op5_licenses,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op9_media": op9_media,
