@@ -67,3 +67,11 @@ def row_key(id_col: str, text_col: str) -> list:
         F.xxhash64(F.col(id_col), F.lit(11)).alias("key_id"),
         F.xxhash64(F.col(text_col), F.length(F.col(text_col)), F.lit(12)).alias("key_text"),
     ]
+
+
+def small_side(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted and has at most ``max_rows`` rows, else as it is.
+
+    Give it a narrow table that is cheap to count (a checkpoint or a stored one).
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
