@@ -202,3 +202,11 @@ def digests(scanned: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that share a window with the benchmark; null texts stay."""
+    hit = scan(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(F.col("key_id").alias("h_id"), F.col("key_text").alias("h_text"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = packed.select("row", *row_key("doc_id", "text"))
+    return keyed.join(hit, (F.col("key_id") == F.col("h_id")) & (F.col("key_text") == F.col("h_text")), "left_anti").select("row.*")
