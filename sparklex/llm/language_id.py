@@ -37,6 +37,9 @@ EM_ROUNDS = 2
 SMOOTHING = 0.05
 #: Words a task remembers the scores of before it forgets them all.
 CACHE_WORDS = 400_000
+#: Letters of a word scored together, and words scored in one step.
+SLICE = 24
+WORDS_AT_ONCE = 8192
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -54,59 +57,77 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class Lattice:
-    """All segmentations of words into vocabulary pieces."""
+class Vocabulary:
+    """Pieces by their bytes, and all their beginnings, so that a search can stop early."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.longest = max(map(len, ranks))
-
-    def edges(self, word: str) -> tuple[int, list[tuple[int, int, int]]]:
-        """Length in bytes of the word with its leading blank, and its pieces (start, end, id) by end."""
-        raw = b" " + word.encode()
-        n, get = len(raw), self.ranks.get
-        found = []
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = get(raw[start:end])
-                if piece is not None:
-                    found.append((start, end, piece))
-        return n, found
-
-    def forward(self, n: int, edges: list, probability: np.ndarray) -> np.ndarray:
-        """Scaled prefix sums: row i holds the sum over all segmentations of the first i bytes."""
-        alpha = np.zeros((n + 1, probability.shape[1]))
-        alpha[0] = 1.0
-        for start, end, piece in edges:
-            alpha[end] += alpha[start] * probability[piece]
-        return alpha
-
-    def log_likelihood(self, word: str, probability: np.ndarray) -> np.ndarray:
-        """Log probability of a word in each language.
-
-        A word longer than 64 bytes is scored in slices of that length, so that
-        the sums stay within range.
-        """
-        total = np.zeros(probability.shape[1])
-        for start in range(0, len(word), 48):
-            n, edges = self.edges(word[start : start + 48])
-            total += np.log(np.maximum(self.forward(n, edges, probability)[n], 1e-300))
-        return total
-
-    def expected_counts(self, word: str, probability: np.ndarray, counts: np.ndarray, times: float) -> None:
-        """Add the posterior count of each piece (one language: a vector of probabilities)."""
-        for first in range(0, len(word), 48):
-            n, edges = self.edges(word[first : first + 48])
-            alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-            alpha[0] = beta[n] = 1.0
-            weights = [float(probability[piece]) for _, _, piece in edges]
-            for (start, end, _), p in zip(edges, weights):
-                alpha[end] += alpha[start] * p
-            for (start, end, _), p in zip(reversed(edges), reversed(weights)):
-                beta[start] += beta[end] * p
-            if alpha[n] > 0:
-                for (start, end, piece), p in zip(edges, weights):
-                    counts[piece] += times * alpha[start] * p * beta[end] / alpha[n]
+        self.size = max(ranks.values(), default=-1) + 1
+        self.beginnings = {piece[:n]: -1 for piece in ranks for n in range(1, len(piece))}
+        self.beginnings.update(ranks)
+
+
+class Lattice:
+    """All segmentations of many words into pieces, as edges grouped by where they end and how long they are.
+
+    Within a group every word has at most one edge, so a group is one step for
+    all words together.  Words longer than ``SLICE`` letters are cut into slices
+    of that length, which keeps the products within range.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+        get = vocabulary.beginnings.get
+        slices, self.owner = [], []
+        for at, word in enumerate(words):
+            for start in range(0, len(word), SLICE):
+                slices.append(b" " + word[start : start + SLICE].encode())
+                self.owner.append(at)
+        edges: list[int] = []
+        for row, raw in enumerate(slices):
+            n = len(raw)
+            for start in range(n):
+                for end in range(start + 1, n + 1):
+                    piece = get(raw[start:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        edges += (row, start, end, piece)
+        self.words = len(words)
+        self.rows = len(slices)
+        self.ends = np.fromiter(map(len, slices), np.int64, len(slices))
+        row, start, end, piece = np.array(edges, np.int64).reshape(-1, 4).T
+        order = np.lexsort((row, end - start, end))
+        self.row, self.start, self.end, self.piece = row[order], start[order], end[order], piece[order]
+        group = self.end * (vocabulary.size + 1) + (self.end - self.start)
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        self.groups = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)])) if len(group) else []
+
+    def _sums(self, weights: np.ndarray, forward: bool) -> np.ndarray:
+        sums = np.zeros((self.rows, int(self.ends.max(initial=0)) + 1, weights.shape[1]))
+        if forward:
+            sums[:, 0] = 1.0
+        else:
+            sums[np.arange(self.rows), self.ends] = 1.0
+        for a, b in self.groups if forward else reversed(self.groups):
+            row, start, end = self.row[a:b], self.start[a], self.end[a]
+            source, target = (start, end) if forward else (end, start)
+            sums[row, target] += sums[row, source] * weights[a:b]
+        return sums
+
+    def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
+        """Log probability of each word (rows) in each language: the sum over its segmentations."""
+        whole = self._sums(probability[self.piece], True)[np.arange(self.rows), self.ends]
+        out = np.zeros((self.words, probability.shape[1]))
+        np.add.at(out, self.owner, np.log(np.maximum(whole, 1e-300)))
+        return out
+
+    def expected_counts(self, probability: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Posterior counts of all pieces in one language, of words that occur ``times`` each."""
+        weights = probability[self.piece][:, None]
+        alpha, beta = self._sums(weights, True)[:, :, 0], self._sums(weights, False)[:, :, 0]
+        whole = alpha[np.arange(self.rows), self.ends]
+        share = np.where(whole > 0, times[self.owner] / np.maximum(whole, 1e-300), 0.0)
+        posterior = alpha[self.row, self.start] * weights[:, 0] * beta[self.row, self.end] * share[self.row]
+        return np.bincount(self.piece, posterior, len(probability))
 
 
 def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str | None) -> dict[str, np.ndarray]:
@@ -115,9 +136,9 @@ def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str
 
     def run(batches):
         ranks = _vocabulary(path)
-        lattice = Lattice(ranks)
+        vocabulary = Vocabulary(ranks)
         # Without a model, a piece of n bytes starts at 2^-8n: as likely as its bytes one by one.
-        flat = np.zeros(max(ranks.values()) + 1)
+        flat = np.zeros(vocabulary.size)
         for piece, rank in ranks.items():
             flat[rank] = 2.0 ** (-8 * min(len(piece), 60))
         words: dict[str, dict[str, int]] = {}
@@ -128,8 +149,10 @@ def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str
                     seen[word] = seen.get(word, 0) + 1
         for lang, seen in words.items():
             counts = np.zeros(len(flat))
-            for word, times in seen.items():
-                lattice.expected_counts(word, flat if model is None else model[lang], counts, times)
+            listed, times = list(seen), np.fromiter(seen.values(), np.float64, len(seen))
+            for start in range(0, len(listed), WORDS_AT_ONCE):
+                lattice = Lattice(vocabulary, listed[start : start + WORDS_AT_ONCE])
+                counts += lattice.expected_counts(flat if model is None else model[lang], times[start : start + WORDS_AT_ONCE])
             pieces = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(pieces), pa.string()), pa.array(pieces, pa.int32()), pa.array(counts[pieces], pa.float64())],
@@ -180,33 +203,35 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def make():
         names, table = shared.value
-        lattice = Lattice(_vocabulary(path)) if names else None
-        state = {"rows": {}, "scores": np.zeros((1024, len(names)))}
-
-        def scores_of(words: list[str]) -> np.ndarray:
-            rows, scores = state["rows"], state["scores"]
-            if len(rows) > CACHE_WORDS:
+        vocabulary = Vocabulary(_vocabulary(path)) if names else None
+        state = {"rows": {}, "scores": np.zeros((1 << 16, len(names)))}
+
+        def learn_words(split: list[list[str]]) -> None:
+            """Score those words that are not remembered."""
+            rows = state["rows"]
+            fresh = list({word: None for words in split for word in words if word not in rows})
+            if len(rows) + len(fresh) > CACHE_WORDS:
                 rows.clear()
-            for word in words:
-                if word not in rows:
-                    at = rows[word] = len(rows)
-                    if at >= len(scores):
-                        scores = state["scores"] = np.concatenate([scores, np.zeros_like(scores)])
-                    scores[at] = lattice.log_likelihood(word, table)
-            return scores[[rows[word] for word in words]].sum(0)
-
-        def judge(text: str | None) -> tuple[str, float]:
-            words = words_of(text) if text and names else []
+                fresh = list({word: None for words in split for word in words})
+            while len(rows) + len(fresh) > len(state["scores"]):
+                state["scores"] = np.concatenate([state["scores"], np.zeros_like(state["scores"])])
+            for start in range(0, len(fresh), WORDS_AT_ONCE):
+                part = fresh[start : start + WORDS_AT_ONCE]
+                state["scores"][len(rows) : len(rows) + len(part)] = Lattice(vocabulary, part).log_likelihood(table)
+                rows.update(zip(part, range(len(rows), len(rows) + len(part))))
+
+        def judge(words: list[str]) -> tuple[str, float]:
             if not words:
                 return UNDETERMINED, 0.0
-            total = np.zeros(len(names))
-            for start in range(0, len(words), 50_000):
-                total += scores_of(words[start : start + 50_000])
+            rows = state["rows"]
+            total = state["scores"][np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(0)
             best = int(total.argmax())
             return names[best], float(1.0 / np.exp(total - total[best]).sum())
 
         def turn(batch):
-            judged = [judge(text) for text in batch.column(1).to_pylist()]
+            split = [words_of(text) if text and names else [] for text in batch.column(1).to_pylist()]
+            learn_words(split)
+            judged = [judge(words) for words in split]
             return {"doc_id": batch.column(0), "lang_pred": [j[0] for j in judged], "score": [j[1] for j in judged]}
 
         return turn
