@@ -32,13 +32,13 @@ TokenFilter = Callable[[Column], Column]
 
 def whitespace_tokenizer(text: Column) -> Column:
     """Runs of anything but white space, case and punctuation kept."""
-    return F.array_remove(F.split(text, f"[{WS}]+"), "")
+    return F.regexp_extract_all(text, F.lit(f"[^{WS}]+"), F.lit(0))
 
 
 def standard_tokenizer(text: Column) -> Column:
     """Lower-cased runs of letters; white space and punctuation separate, all else is deleted."""
     kept = F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{P}}{WS}]", ""))
-    return F.array_remove(F.split(kept, rf"[\p{{P}}{WS}]+"), "")
+    return F.regexp_extract_all(kept, F.lit(rf"[^\p{{P}}{WS}]+"), F.lit(0))
 
 
 def lowercase_filter(tokens: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Predicates over an analysed corpus: clauses, ranges, terms and regexes."""
+"""Predicates over an analysed corpus: clauses, ranges, terms and regexes.
+
+Filters stay plain comparisons, NULL where a value is absent: as conjuncts of a
+WHERE they exclude such rows, and the optimizer can move them into the scan.
+"""
 
 from __future__ import annotations
 
@@ -58,7 +62,7 @@ def in_range(corpus: DataFrame, bounds: Range) -> Column:
     tests += [] if bounds.lte is None else [value <= float(bounds.lte)]
     tests += [] if bounds.gt is None else [value > float(bounds.gt)]
     tests += [] if bounds.lt is None else [value < float(bounds.lt)]
-    return F.coalesce(all_of(tests), F.lit(False))
+    return all_of(tests)
 
 
 def _stored(corpus: DataFrame, schema: Schema, field: str) -> Column | None:
@@ -70,7 +74,7 @@ def in_terms(corpus: DataFrame, schema: Schema, terms: Terms) -> Column:
     value = _stored(corpus, schema, terms.field)
     if value is None or not terms.values:
         return F.lit(False)
-    return F.coalesce(value.isin(*terms.values), F.lit(False))
+    return value.isin(*terms.values)
 
 
 def in_regex(corpus: DataFrame, schema: Schema, regex: Regex) -> Column:
@@ -78,7 +82,7 @@ def in_regex(corpus: DataFrame, schema: Schema, regex: Regex) -> Column:
     value, pattern = _stored(corpus, schema, regex.field), java_regex(regex.pattern)
     if value is None or pattern is None:
         return F.lit(False)
-    return F.coalesce(value.rlike(pattern), F.lit(False))
+    return value.rlike(pattern)
 
 
 def passes(corpus: DataFrame, schema: Schema, query: Query) -> Column:
