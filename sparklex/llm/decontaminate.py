@@ -47,34 +47,44 @@ def _range(count: Column) -> Column:
 
 
 def _grams(words_col: str) -> Column:
-    """Hash and place of every gram."""
+    """Hash of every gram, by place.
+
+    Elements are read one by one: a slice would copy the whole array each time.
+    """
     array = F.col(words_col)
-    return F.transform(
-        _range(F.size(array) - GRAM + 1),
-        lambda i: F.struct(F.xxhash64(*(F.get(array, i + k) for k in range(GRAM))).alias("hash"), i.alias("at")),
-    )
+    return F.transform(_range(F.size(array) - GRAM + 1), lambda i: F.xxhash64(*(F.get(array, i + k) for k in range(GRAM))))
 
 
-def _picks(words_col: str, grams_col: str) -> Column:
-    """The smallest gram of each window, the leftmost of equal ones, without repeats."""
-    return F.array_distinct(
-        F.transform(
-            _range(F.size(words_col) - WINDOW + 1),
-            lambda s: F.array_min(F.slice(F.col(grams_col), s + 1, WINDOW - GRAM + 1)),
-        )
-    )
+def _lows(grams_col: str) -> Column:
+    """The smallest gram hash of every window, by the window's start."""
+    array, count = F.col(grams_col), WINDOW - GRAM + 1
+    return F.transform(_range(F.size(array) - count + 1), lambda s: F.least(*(F.get(array, s + k) for k in range(count))))
+
 
+def _picks(grams_col: str, lows_col: str) -> Column:
+    """Places of the grams that are the smallest of some window."""
+    grams, lows = F.col(grams_col), F.col(lows_col)
 
-def _text(array: Column, start: Column, length) -> Column:
-    return F.array_join(F.slice(array, start + 1, length), " ")
+    def is_low(i: Column) -> Column:
+        own, found = F.get(grams, i), F.lit(False)
+        for back in range(WINDOW - GRAM + 1):
+            found = found | F.coalesce((i >= back) & (F.get(lows, F.greatest(i - back, F.lit(0))) == own), F.lit(False))
+        return found
+
+    return F.filter(_range(F.when(F.size(lows) > 0, F.size(grams)).otherwise(0)), is_low)
+
+
+def _text(array: Column, start: Column, length: int) -> Column:
+    """The words of a window, joined by blanks."""
+    return F.concat_ws(" ", *(F.get(array, start + k) for k in range(length)))
 
 
 def benchmark_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Fingerprints (length, hash), and windows (window, items), of a benchmark."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("words")).where(F.size("words") > 0)
-    long_ = items.where(F.size("words") >= WINDOW).withColumn("grams", _grams("words"))
+    long_ = items.where(F.size("words") >= WINDOW).withColumn("grams", _grams("words")).withColumn("lows", _lows("grams"))
     short = items.where(F.size("words") < WINDOW)
-    prints = long_.select(F.lit(WINDOW).alias("length"), F.explode(F.transform(_picks("words", "grams"), lambda g: g["hash"])).alias("hash")).unionByName(
+    prints = long_.select(F.lit(WINDOW).alias("length"), F.explode(F.array_distinct("lows")).alias("hash")).unionByName(
         short.select(F.size("words").alias("length"), F.xxhash64(F.array_join("words", " ")).alias("hash"))
     )
     windows = long_.select(
@@ -88,14 +98,17 @@ def _seeds(short_lengths: list[int], with_words: bool) -> Column:
     array = F.col("words")
 
     def seed(at: Column, length: int, hash_: Column, first: Column, count: int) -> Column:
-        around = F.slice(array, first + 1, count) if with_words else F.lit(None).cast("array<string>")
-        return F.struct(at.alias("at"), F.lit(length).alias("length"), hash_.alias("hash"), first.alias("first"), around.alias("around"))
+        around = F.array(*(F.get(array, first + k) for k in range(count))) if with_words else F.lit(None).cast("array<string>")
+        inside = F.least(F.lit(count), F.size(array) - first)
+        return F.struct(
+            at.alias("at"), F.lit(length).alias("length"), hash_.alias("hash"), first.alias("first"), inside.alias("count"), around.alias("around")
+        )
 
     reach = WINDOW - GRAM
     lists = [
         F.transform(
-            _picks("words", "grams"),
-            lambda g: seed(g["at"], WINDOW, g["hash"], F.greatest(g["at"] - reach, F.lit(0)), WINDOW + reach),
+            _picks("grams", "lows"),
+            lambda i: seed(i, WINDOW, F.get("grams", i), F.greatest(i - reach, F.lit(0)), WINDOW + reach),
         )
     ]
     for length in short_lengths:
@@ -111,10 +124,9 @@ def _seeds(short_lengths: list[int], with_words: bool) -> Column:
 def _windows() -> Column:
     """All windows that hold the seed: where each starts, its length, and its words."""
     around, first, length = F.col("seed.around"), F.col("seed.first"), F.col("seed.length")
-    starts = _range(F.size(around) - length + 1)
     return F.transform(
-        starts,
-        lambda s: F.struct((first + s).alias("start"), length.alias("length"), _text(around, s, length).alias("window")),
+        _range(F.col("seed.count") - length + 1),
+        lambda s: F.struct((first + s).alias("start"), length.alias("length"), F.array_join(F.slice(around, s + 1, length), " ").alias("window")),
     )
 
 
@@ -127,7 +139,7 @@ def scan(
     item_text_col: str = "text",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """For each row of ``docs``: its key, id, words, words hit, spans hit (start, end) and items found."""
+    """For each row of ``docs``: its key and id, ``n_words``, ``n_hit``, the windows hit (start, end) and the items found."""
     size = benchmark.select(F.sum(F.octet_length(F.col(item_text_col).cast("string")))).first()[0] or 0
     lengths = words(F.col(item_text_col).cast("string"))
     short_lengths = sorted(
@@ -139,9 +151,9 @@ def scan(
         prints, windows = F.broadcast(prints), F.broadcast(windows)
 
     named = id_and_text(docs, id_col, text_col).select(*row_key("doc_id", "text"), "doc_id", words(F.col("text")).alias("words"))
-    read = named.withColumn("grams", _grams("words"))
+    read = named.withColumn("grams", _grams("words")).withColumn("lows", _lows("grams"))
     key = ["key_id", "key_text", "doc_id"]
-    own_row = F.array(F.lit(None).cast("struct<at:int,length:int,hash:bigint,first:int,around:array<string>>"))
+    own_row = F.array(F.lit(None).cast("struct<at:int,length:int,hash:bigint,first:int,count:int,around:array<string>>"))
     seeds = read.select(*key, F.size("words").alias("n_words"), F.explode(F.concat(own_row, _seeds(short_lengths, with_words=small))).alias("seed"))
     hits = seeds.join(
         prints, (F.col("seed.length") == prints["length"]) & (F.col("seed.hash") == prints["hash"]), "left"
@@ -158,28 +170,30 @@ def scan(
         F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at.start", (F.col("at.start") + F.col("at.length")).alias("end")))).alias("windows"),
         F.collect_set("items").alias("items"),
     )
-    spans = F.aggregate(F.array_sort("windows"), F.array().cast("array<struct<start:int,end:int>>"), _merge_span)
+    # Running over sorted windows: how far words are covered, and how many are.
+    start = F.named_struct(F.lit("reached"), F.lit(0), F.lit("n"), F.lit(0).cast("long"))
+    covered = F.aggregate(
+        "windows",
+        start,
+        lambda done, w: F.named_struct(
+            F.lit("reached"), F.greatest(done["reached"], w["end"]), F.lit("n"), done["n"] + F.greatest(w["end"] - F.greatest(done["reached"], w["start"]), F.lit(0))
+        ),
+        lambda done: done["n"],
+    )
     return (
-        merged.select(
+        merged.withColumn("windows", F.array_sort("windows"))
+        .select(
             *key,
             "n_words",
-            spans.alias("spans"),
+            "windows",
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
             F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row"),
         )
         .drop("row")
-        .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+        .withColumn("n_hit", covered)
     )
 
 
-def _merge_span(done: Column, span: Column) -> Column:
-    """Add a span to sorted ones, joined with the last if they touch or overlap."""
-    last = F.get(done, F.size(done) - 1)
-    touching = (F.size(done) > 0) & (last["end"] >= span["start"])
-    joined = F.named_struct(F.lit("start"), last["start"], F.lit("end"), F.greatest(last["end"], span["end"]))
-    return F.when(touching, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(span)))
-
-
 def _with_words(hits: DataFrame, named: DataFrame, key: list[str]) -> DataFrame:
     """Fetch the words around each hit from the documents, for a benchmark too large to broadcast."""
     texts = named.dropDuplicates(["key_id", "key_text"]).select(F.col("key_id").alias("k1"), F.col("key_text").alias("k2"), "words")
@@ -187,7 +201,7 @@ def _with_words(hits: DataFrame, named: DataFrame, key: list[str]) -> DataFrame:
     around = F.slice("words", F.col("seed.first") + 1, length)
     filled = F.when(
         F.col("seed").isNotNull(),
-        F.struct("seed.at", "seed.length", "seed.hash", "seed.first", around.alias("around")),
+        F.struct("seed.at", "seed.length", "seed.hash", "seed.first", "seed.count", around.alias("around")),
     )
     return hits.join(texts, (F.col("key_id") == F.col("k1")) & (F.col("key_text") == F.col("k2"))).select(*key, "n_words", filled.alias("seed"))
 
