@@ -111,14 +111,11 @@ def _seeds(short_lengths: list[int], with_words: bool) -> Column:
             lambda i: seed(i, WINDOW, F.get("grams", i), F.greatest(i - reach, F.lit(0)), WINDOW + reach),
         )
     ]
-    for length in short_lengths:
-        lists.append(
-            F.transform(
-                _range(F.size(array) - length + 1),
-                lambda i, n=length: seed(i, n, F.xxhash64(_text(array, i, n)), i, n),
-            )
-        )
-    return F.concat(*lists)
+
+    def short(n: int) -> Column:
+        return F.transform(_range(F.size(array) - n + 1), lambda i: seed(i, n, F.xxhash64(_text(array, i, n)), i, n))
+
+    return F.concat(*lists, *map(short, short_lengths))
 
 
 def _windows() -> Column:
