@@ -177,7 +177,10 @@ def _signatures(rows: DataFrame, size: int, depth: int) -> DataFrame:
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of sorted distinct arrays, left by right."""
+    """Sizes of the intersections of sorted distinct arrays, left by right.
+
+    Of arrays with themselves the diagonal holds only what others share too.
+    """
     same = left is right
     sets = left if same else left + right
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
