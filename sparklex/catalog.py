@@ -263,6 +263,17 @@ def phrase3(spark, sf_dir):
     return _scored(_texts(spark, sf_dir).search(Builder().must("text", "in").phrase("text", "of", "the", "in").build()).hits)
 
 
+@query("stored_index_search", f"WITH {_DOC_TOKENS} SELECT doc_id, round({_bm25('from')} + {_bm25('this')}, 6) AS score FROM tok WHERE {_has('from')} AND NOT {_has('er')} ORDER BY 2 DESC, 1 LIMIT 10")
+def stored_index_search(spark, sf_dir):
+    q = Builder().must("text", "from").should("text", "this").must_not("text", "er").build()
+    return _scored(_texts(spark, sf_dir).use_index().search(q, 10).hits)
+
+
+@query("stored_index_phrase", f"WITH {_DOC_TOKENS} SELECT doc_id, round({_bm25('in')}, 6) AS score FROM tok WHERE {_phrase(['of', 'the'])} AND {_has('in')}")
+def stored_index_phrase(spark, sf_dir):
+    return _scored(_texts(spark, sf_dir).use_index().search(Builder().must("text", "in").phrase("text", "of", "the").build()).hits)
+
+
 @query("phrase_stopgap", f"WITH {_DOC_TOKENS} SELECT doc_id, 0.0::double AS score FROM tok WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'er' AND t[i + 1] = 'st')) > 0")
 def phrase_stopgap(spark, sf_dir):
     return _scored(_texts(spark, sf_dir, analyzer=STOPPED).search(Builder().phrase("text", "er", "st").build()).hits)

@@ -19,7 +19,8 @@ from .functions.text import Analyzer
 from .operators import aggregate as aggregates
 from .operators import expand, index, vector
 from .operators.filters import passes
-from .operators.search import SearchOptions, SearchResult, match_rows, search
+from .operators.posting_search import StoredIndex, match_postings
+from .operators.search import SearchOptions, SearchResult, match_rows, present, search
 from .plans.mapping import SKIP, VECTOR, FieldMapping, Schema, infer_mapping
 from .plans.query import Query
 from .sources import documents
@@ -54,6 +55,7 @@ class SearchEngine:
         self.schema = Schema()
         self.rows: DataFrame | None = None
         self.corpus: DataFrame | None = None
+        self.stored_index: StoredIndex | None = None
         self._changes = self._seq = 0
         self._log = ChangeLog(spark, config.log_path) if config.log_path else None
         if config.snapshot_path and subfolders(spark, config.snapshot_path):
@@ -121,6 +123,7 @@ class SearchEngine:
         self._analyse()
 
     def _analyse(self) -> None:
+        self.stored_index = None
         self.corpus = index.analyse(self.rows, "doc_id", self.schema, self.config.analyzer)
 
     def merge(self) -> None:
@@ -151,8 +154,28 @@ class SearchEngine:
 
     def search(self, query: Query, top_k: int = 0, options: SearchOptions = SearchOptions()) -> SearchResult:
         c = self.config
+        if self.stored_index is not None and query.clauses:
+            return self._search_stored(self._expanded(query), top_k, options)
         return search(self.corpus, self.schema, self._expanded(query), top_k, options, c.bm25, c.analyzer, c.n_mode)
 
+    def _search_stored(self, query: Query, top_k: int, options: SearchOptions) -> SearchResult:
+        """Search by the stored postings; documents are read for the rows that are left."""
+        c = self.config
+        n_rows = self.size() if c.n_mode == "documents" else None
+        hits = match_postings(self.stored_index, query, c.bm25, n_rows)
+        limit = min([x for x in (top_k, options.size) if x > 0], default=0)
+        plain = not (query.ranges or query.terms or query.regexes or options.sort or options.search_after)
+        if plain and limit:
+            hits = hits.orderBy(F.desc("score"), "doc_id").limit(options.from_ + limit)
+        rows = self.corpus.where(passes(self.corpus, self.schema, query)).join(hits, "doc_id")
+        return present(rows, self.corpus, self.schema, top_k, options, c.analyzer)
+
+    def use_index(self, postings: DataFrame | None = None, field_stats: DataFrame | None = None) -> "SearchEngine":
+        """Answer clauses from an inverted index of the current documents, until they change."""
+        indexed = tuple(index.indexed_fields(self.corpus))
+        self.stored_index = StoredIndex(self.postings() if postings is None else postings, self.field_stats() if field_stats is None else field_stats, indexed)
+        return self
+
     def fuzzy_search(self, field: str, term: str, max_distance: int, top_k: int = 0) -> DataFrame:
         return expand.fuzzy(self.corpus, field, term, max_distance, top_k, self.config.bm25, self.config.n_mode)
 
@@ -241,6 +264,8 @@ class SearchEngine:
         self._seq = meta["seq"]
         self.rows = self.spark.read.parquet(f"{version}/rows")
         self._analyse()
+        if "postings" in subfolders(self.spark, version):
+            self.use_index(self.spark.read.parquet(f"{version}/postings"), self.spark.read.parquet(f"{version}/field_stats"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: EngineConfig = EngineConfig()) -> "SearchEngine":

@@ -165,12 +165,16 @@ def search(
     analyzer: Analyzer = Analyzer(),
     n_mode: str = "field_instances",
 ) -> SearchResult:
-    """Hits ``doc_id, fields, score, highlights``, best first, or by the sort fields.
+    """Hits ``doc_id, fields, score, highlights``, best first, or by the sort fields."""
+    return present(match_rows(corpus, schema, query, bm25, n_mode), corpus, schema, top_k, options, analyzer)
+
+
+def present(rows: DataFrame, corpus: DataFrame, schema: Schema, top_k: int, options: SearchOptions, analyzer: Analyzer) -> SearchResult:
+    """Order, cut and mark up matching rows of a corpus that have ``score`` and ``terms``.
 
     Ties: the better score, then the smaller id.  Missing sort values come last.
     The page is cut by cursor or offset, then by size, then by ``top_k``.
     """
-    rows = match_rows(corpus, schema, query, bm25, n_mode)
     keys = [(f"k_{i}", s.order) for i, s in enumerate(options.sort)]
     rows = rows.withColumns({k: sort_key(corpus, schema, s.field) for (k, _), s in zip(keys, options.sort)}) if keys else rows
     order = [F.col(k).desc_nulls_last() if o == DESC else F.col(k).asc_nulls_last() for k, o in keys]

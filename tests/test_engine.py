@@ -225,6 +225,11 @@ def test_save_load_and_reindex(spark, tmp_path):
     back = SearchEngine.load(spark, str(tmp_path / "i"), EngineConfig(mapping=TEXT))
     q = Builder().must("body", "go").build()
     assert [tuple(r)[:3] for r in back.search(q).hits.collect()] == [tuple(r)[:3] for r in e.search(q).hits.collect()]
+    assert back.stored_index is not None
+    phrase = Builder().phrase("body", "go", "slow").regex("body", "^go").build()
+    assert ids(back.search(phrase).hits) == ids(e.search(phrase).hits) == ["2"]
+    plan = back.search(q).hits._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,go)" in plan or "In(term, [go])" in plan
     stored = spark.read.parquet(str(tmp_path / "i/v000000000000/postings"))
     assert stored.where("field = 'body' and term = 'go'").count() == 2
     exact = e.reindex(EngineConfig(mapping=TEXT, analyzer=Analyzer(whitespace_tokenizer)))
