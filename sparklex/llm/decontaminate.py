@@ -61,17 +61,14 @@ def _lows(grams_col: str) -> Column:
     return F.transform(_range(F.size(array) - count + 1), lambda s: F.least(*(F.get(array, s + k) for k in range(count))))
 
 
-def _picks(grams_col: str, lows_col: str) -> Column:
-    """Places of the grams that are the smallest of some window."""
-    grams, lows = F.col(grams_col), F.col(lows_col)
+def _starts(lows_col: str) -> Column:
+    """Windows at which a run of one smallest gram begins, and every ``WINDOW - GRAM + 1``-th.
 
-    def is_low(i: Column) -> Column:
-        own, found = F.get(grams, i), F.lit(False)
-        for back in range(WINDOW - GRAM + 1):
-            found = found | F.coalesce((i >= back) & (F.get(lows, F.greatest(i - back, F.lit(0))) == own), F.lit(False))
-        return found
-
-    return F.filter(_range(F.when(F.size(lows) > 0, F.size(grams)).otherwise(0)), is_low)
+    Any window is thus at most ``WINDOW - GRAM`` behind one of these with the
+    same smallest gram.
+    """
+    lows, stride = F.col(lows_col), WINDOW - GRAM + 1
+    return F.filter(_range(F.size(lows)), lambda s: (s % stride == 0) | (F.get(lows, s) != F.get(lows, s - 1)))
 
 
 def _text(array: Column, start: Column, length: int) -> Column:
@@ -104,22 +101,16 @@ def _seeds(short_lengths: list[int], with_words: bool) -> Column:
             at.alias("at"), F.lit(length).alias("length"), hash_.alias("hash"), first.alias("first"), inside.alias("count"), around.alias("around")
         )
 
-    reach = WINDOW - GRAM
-    lists = [
-        F.transform(
-            _picks("grams", "lows"),
-            lambda i: seed(i, WINDOW, F.get("grams", i), F.greatest(i - reach, F.lit(0)), WINDOW + reach),
-        )
-    ]
+    found = F.transform(_starts("lows"), lambda i: seed(i, WINDOW, F.get("lows", i), i, 2 * WINDOW - GRAM))
 
     def short(n: int) -> Column:
         return F.transform(_range(F.size(array) - n + 1), lambda i: seed(i, n, F.xxhash64(_text(array, i, n)), i, n))
 
-    return F.concat(*lists, *map(short, short_lengths))
+    return F.concat(found, *map(short, short_lengths))
 
 
 def _windows() -> Column:
-    """All windows that hold the seed: where each starts, its length, and its words."""
+    """The windows that a seed stands for: where each starts, its length, and its words."""
     around, first, length = F.col("seed.around"), F.col("seed.first"), F.col("seed.length")
     return F.transform(
         _range(F.col("seed.count") - length + 1),
