@@ -46,6 +46,8 @@ MIN_WORD_DOCS = 4
 MIN_Z = 5.0
 MAX_WORDS = 500
 NEWTON_STEPS = 25
+#: Labelled documents that the driver works on at once.
+CHUNK = 1000
 RIDGE = 0.2
 THRESHOLD = 0.5
 MAX_LOG_ODDS = 12.0
@@ -119,29 +121,32 @@ def _fit_logistic(shapes: np.ndarray, words: list[np.ndarray], label: np.ndarray
     if not 0 < positive < n:
         bias = math.log((positive + 0.5) / (n - positive + 0.5))
         return Logistic(centre, scale, np.zeros(shapes.shape[1]), np.zeros(0, np.int32), np.zeros(0), bias)
-    flat = np.concatenate(words) if words else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(n), [len(w) for w in words])
-    total = np.bincount(flat, minlength=1 << HASH_BITS)
-    bad = np.bincount(flat, label[owner], minlength=1 << HASH_BITS)
+    total, bad = (np.zeros(1 << HASH_BITS, np.int64) for _ in range(2))
+    for start in range(0, n, CHUNK):  # piece by piece, to keep the driver small
+        part, own = words[start : start + CHUNK], label[start : start + CHUNK]
+        total += np.bincount(np.concatenate(part), minlength=1 << HASH_BITS)
+        bad += np.bincount(np.concatenate([w for w, y in zip(part, own) if y] or [part[0][:0]]), minlength=1 << HASH_BITS)
     rate = positive / n
     spread = np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
     z = (bad - total * rate) / spread
     chosen = np.flatnonzero((total >= MIN_WORD_DOCS) & (np.abs(z) >= MIN_Z))
     chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:MAX_WORDS]).astype(np.int32)
-    x = np.zeros((n, 1 + shapes.shape[1] + len(chosen)))
+    x = np.zeros((n, 1 + shapes.shape[1] + len(chosen)), np.float32)
     x[:, 0] = 1
     x[:, 1 : 1 + shapes.shape[1]] = (shapes - centre) / scale
-    if len(chosen):
-        at = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
-        hit = chosen[at] == flat
-        x[owner[hit], 1 + shapes.shape[1] + at[hit]] = 1
+    for row, own in enumerate(words if len(chosen) else []):
+        at = np.searchsorted(own, chosen)
+        x[row, 1 + shapes.shape[1] :] = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == chosen) if len(own) else 0
     weights = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], RIDGE)
     ridge[0] = 1e-6
     for _ in range(NEWTON_STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - label) + ridge * weights
-        curvature = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+        gradient, curvature = ridge * weights, np.diag(ridge)
+        for start in range(0, n, CHUNK):
+            part = x[start : start + CHUNK].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ weights, -30, 30)))
+            gradient += part.T @ (p - label[start : start + CHUNK])
+            curvature += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
         step = np.linalg.solve(curvature, gradient)
         weights -= step
         if np.abs(step).max() < 1e-6:
@@ -188,8 +193,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = map_slices(rows.select("low", "toxic", "text"), lambda: turn, schema).toArrow()
     shapes = np.array(table.column("shape").to_pylist(), np.float64).reshape(-1, SHAPES)
     words = [np.asarray(w.values, np.int32) for w in table.column("words")]
-    if not len(shapes):
-        shapes, words = np.zeros((0, SHAPES)), []
     low, toxic = (np.array(table.column(c).to_pylist(), np.float64) for c in ("low", "toxic"))
     if not len(low):
         nothing = Logistic(np.zeros(SHAPES), np.ones(SHAPES), np.zeros(SHAPES), np.zeros(0, np.int32), np.zeros(0), -MAX_LOG_ODDS)
