@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as a character class that Java, RE2 and Go agree on.
-WS = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: White space as a Unicode property: one test for each character, where a list of ranges would take a dozen.
+WS = r"\p{IsWhite_Space}"
 
 # The 54 English stop words.
 ENGLISH_STOP_WORDS = (
@@ -32,13 +32,13 @@ TokenFilter = Callable[[Column], Column]
 
 def whitespace_tokenizer(text: Column) -> Column:
     """Runs of anything but white space, case and punctuation kept."""
-    return F.regexp_extract_all(text, F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"[^{WS}]++"), F.lit(0))
 
 
 def standard_tokenizer(text: Column) -> Column:
     """Lower-cased runs of letters; white space and punctuation separate, all else is deleted."""
     kept = F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{P}}{WS}]", ""))
-    return F.regexp_extract_all(kept, F.lit(rf"[^\p{{P}}{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(kept, F.lit(rf"[^\p{{P}}{WS}]++"), F.lit(0))
 
 
 def lowercase_filter(tokens: Column) -> Column:
@@ -102,5 +102,14 @@ def has_phrase(tokens: Column, terms: list[str]) -> Column:
     """
     if not terms:
         return F.lit(False)
-    joined = F.concat(F.lit(_BETWEEN), F.array_join(tokens, _BETWEEN, _REMOVED), F.lit(_BETWEEN))
-    return F.coalesce(F.contains(joined, F.lit(_BETWEEN + _BETWEEN.join(terms) + _BETWEEN)), F.lit(False))
+    return F.coalesce(F.contains(_joined(tokens), F.lit(_BETWEEN + _BETWEEN.join(terms) + _BETWEEN)), F.lit(False))
+
+
+def has_prefix(tokens: Column, start: str) -> Column:
+    """True where a term starts so; searched like a phrase."""
+    some = F.size(F.array_compact(tokens)) > 0 if not start else F.contains(_joined(tokens), F.lit(_BETWEEN + start))
+    return F.coalesce(some, F.lit(False))
+
+
+def _joined(tokens: Column) -> Column:
+    return F.concat(F.lit(_BETWEEN), F.array_join(tokens, _BETWEEN, _REMOVED), F.lit(_BETWEEN))

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import Bm25, idf, wildcard_regex, within_distance
-from ..functions.text import term_frequency
+from ..functions.text import has_prefix, term_frequency
+from .index import settled
 from .search import statistics
 
 
 def _matched(corpus: DataFrame, field: str, test: Column) -> DataFrame:
     """``doc_id, term, freq, length, boost`` of each term of the field that passes a test on ``term``."""
     return (
-        corpus.select("doc_id", f"t_{field}", f"l_{field}", f"b_{field}", F.explode(F.array_distinct(f"t_{field}")).alias("term"))
+        settled(corpus, [field])
+        .select("doc_id", f"t_{field}", f"l_{field}", f"b_{field}", F.explode(F.array_distinct(f"t_{field}")).alias("term"))
         .where(test)
         .select("doc_id", "term", term_frequency(F.col(f"t_{field}"), F.col("term")).alias("freq"), F.col(f"l_{field}").alias("length"), F.col(f"b_{field}").alias("boost"))
     )
@@ -31,7 +33,7 @@ def expand(corpus: DataFrame, field: str, test: Column, top_k: int, bm25: Bm25,
     """``doc_id, score``: the best BM25 score of any matching term, each with its own document frequency."""
     if f"t_{field}" not in corpus.columns:
         return _nothing(corpus)
-    stats = statistics(corpus, [], n_mode)
+    stats = statistics(corpus, [], n_mode, (field,))
     found = _matched(corpus, field, test)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = idf(F.lit(float(stats.n)), F.col("df")) * bm25.tf(F.col("freq"), F.col("length"), F.lit(float(stats.average[field]))) * F.col("boost")
@@ -53,8 +55,7 @@ def prefix(corpus: DataFrame, field: str, start: str) -> DataFrame:
     """Documents with a term that starts so, unranked: score 0, by id."""
     if f"t_{field}" not in corpus.columns:
         return _nothing(corpus)
-    hit = F.exists(F.col(f"t_{field}"), lambda t: F.coalesce(F.startswith(t, F.lit(start)), F.lit(False)))
-    return corpus.where(hit).select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id")
+    return settled(corpus, [field]).where(has_prefix(F.col(f"t_{field}"), start)).select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id")
 
 
 def completions(corpus: DataFrame, field: str, start: str) -> DataFrame:

@@ -19,27 +19,36 @@ from ..plans.mapping import BOOLEAN, FLOAT, INTEGER, NUMERIC, SKIP, TEXT, VECTOR
 
 
 def analyse(df: DataFrame, id_col: str, schema: Schema, analyzer: Analyzer) -> DataFrame:
-    """The wide analysed form of ``df`` under a schema; absent values are NULL.
-
-    Text is analysed once for each row: the token arrays come out of a generator
-    of one row, below which the optimizer moves no predicate on them.  Predicates
-    on values and numbers do move down, into the scan.
-    """
+    """The wide analysed form of ``df`` under a schema; absent values are NULL."""
     fields = [(n, m) for n, m in sorted(schema.items()) if m.type != SKIP and n in df.columns]
     plain = [c for n, m in fields for c in _plain_columns(n, m, df.schema[n].dataType)]
-    texts = [n for n, m in fields if m.type == TEXT and m.index]
     rows = df.select(F.col(id_col).alias("doc_id"), *plain)
-    if texts:
-        analysed = F.struct(*(F.when(F.col(f"v_{n}").isNotNull(), analyzer(F.col(f"v_{n}"))).alias(f"t_{n}") for n in texts))
-        rows = rows.withColumn("__analysed", F.explode(F.array(analysed))).select("*", "__analysed.*").drop("__analysed")
+    texts = {f"t_{n}": F.when(F.col(f"v_{n}").isNotNull(), analyzer(F.col(f"v_{n}"))) for n, m in fields if m.type == TEXT and m.index}
+    rows = rows.withColumns(texts) if texts else rows
     lengths = {}
     for n, m in fields:
         if m.type != VECTOR:
-            tokens = F.col(f"t_{n}") if n in texts else analyzer(F.col(f"v_{n}"))
+            tokens = F.col(f"t_{n}") if f"t_{n}" in texts else analyzer(F.col(f"v_{n}"))
             lengths[f"l_{n}"] = F.when(F.col(f"v_{n}").isNotNull(), token_count(tokens))
     return rows.withColumns(lengths) if lengths else rows
 
 
+def settled(corpus: DataFrame, fields: list[str]) -> DataFrame:
+    """The corpus with the texts of some fields analysed once for each row.
+
+    Their tokens come out of a generator of one row, below which the optimizer
+    moves no predicate on them, and so does not repeat the analysis in each.
+    Predicates on values and numbers do move down, into the scan.  The outer form
+    keeps the optimizer from testing the generator's input, which is never empty.
+    """
+    texts = [f for f in dict.fromkeys(fields) if f"t_{f}" in corpus.columns and f"r_{f}" not in corpus.columns]
+    if not texts:
+        return corpus
+    kept = [c for c in corpus.columns if c[2:] not in texts or c[:2] not in ("t_", "l_")]
+    rows = corpus.select(*kept, F.explode_outer(F.array(F.struct(*(f"t_{f}" for f in texts)))).alias("__analysed")).select(*kept, "__analysed.*")
+    return rows.withColumns({f"l_{f}": F.when(F.col(f"v_{f}").isNotNull(), token_count(F.col(f"t_{f}"))) for f in texts})
+
+
 def _plain_columns(name: str, mapping: FieldMapping, kind: T.DataType) -> list[Column]:
     if mapping.type == VECTOR:
         return [F.col(name).cast("array<double>").alias(f"x_{name}")]
@@ -65,9 +74,9 @@ def measured_fields(corpus: DataFrame) -> list[str]:
 
 def postings(corpus: DataFrame) -> DataFrame:
     """``field, term, doc_id, freq, positions, length, boost``: the inverted index."""
-    parts = None
+    parts, corpus = None, settled(corpus, indexed_fields(corpus))
     for f in indexed_fields(corpus):
-        part = corpus.where(F.col(f"t_{f}").isNotNull()).select(
+        part = corpus.where(F.col(f"v_{f}").isNotNull()).select(
             "doc_id", F.lit(f).alias("field"), F.col(f"l_{f}").alias("length"), F.col(f"b_{f}").alias("boost"), F.posexplode(f"t_{f}").alias("pos", "term")
         )
         parts = part if parts is None else parts.unionByName(part)

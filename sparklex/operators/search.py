@@ -21,7 +21,7 @@ from ..plans.mapping import BOOLEAN, NUMERIC, TEXT, Schema
 from ..plans.query import MUST, MUST_NOT, PHRASE, SHOULD, Query
 from . import filters
 from .highlight import highlights
-from .index import indexed_fields, measured_fields
+from .index import indexed_fields, measured_fields, settled
 
 ASC, DESC = "asc", "desc"
 
@@ -81,17 +81,20 @@ class Statistics:
     df: dict[tuple[str, str], int] = field(default_factory=dict)
 
 
-def statistics(corpus: DataFrame, wanted: list[tuple[str, str]], n_mode: str) -> Statistics:
-    """Corpus size, average lengths, and document frequencies of the wanted terms, in one pass.
+def statistics(corpus: DataFrame, wanted: list[tuple[str, str]], n_mode: str, measure: tuple[str, ...] = ()) -> Statistics:
+    """Corpus size, and of the wanted terms document frequencies and their fields' average lengths, in one pass.
+
+    ``measure`` names further fields whose average length is asked for.
 
     ``n_mode`` "field_instances" counts every indexed value as a document, "documents"
     counts rows.
     """
-    fields, indexed = measured_fields(corpus), set(indexed_fields(corpus))
+    indexed = set(indexed_fields(corpus))
     wanted = [w for w in dict.fromkeys(wanted) if w[0] in indexed]
-    row = corpus.agg(
+    fields = [f for f in dict.fromkeys([*(f for f, _ in wanted), *measure]) if f in measured_fields(corpus)]
+    row = settled(corpus, fields).agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.count(f"t_{f}").alias(f"n_{f}") for f in sorted(indexed)),
+        *(F.count(f"v_{f}").alias(f"n_{f}") for f in sorted(indexed)),
         *(F.avg(f"l_{f}").alias(f"a_{f}") for f in fields),
         *(F.count_if(has_term(F.col(f"t_{f}"), t)).alias(f"d_{i}") for i, (f, t) in enumerate(wanted)),
     ).first()
@@ -150,6 +153,7 @@ def match_rows(corpus: DataFrame, schema: Schema, query: Query, bm25: Bm25, n_mo
         return corpus.where(rule).withColumns({"score": F.lit(0.0), "terms": F.array().cast("array<string>")})
     wanted = [(c.field, c.term) for c in query.clauses if c.kind not in (MUST_NOT, PHRASE)]
     stats = statistics(corpus, wanted, n_mode)
+    corpus = settled(corpus, [c.field for c in query.clauses])
     found = [F.when(filters.holds(corpus, c), F.lit(c.term)) for c in query.clauses if c.kind in (MUST, SHOULD)]
     rows = corpus.where(filters.passes(corpus, schema, query) & filters.matches(corpus, query))
     return rows.withColumns({"score": score(corpus, query, stats, bm25), "terms": F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")})
