@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Rows a worker turns at once; a batch is cut into pieces of this many rows.
 SLICE_ROWS = 512
+#: A key with more than one row in this many is hot; no table has more hot keys than this.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +77,18 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     Give it a narrow table that is cheap to count (a checkpoint or a stored one).
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Join by ``keys`` where some of them may hold a large share of ``left``.
+
+    ``right`` has each key once and, in ``rows``, at least as many rows as ``left`` has of it.  Keys above one in
+    ``HOT_KEYS`` of the sum of ``rows`` (or of ``total``, which must not be less) are fewer than ``HOT_KEYS``; they
+    are broadcast, so their rows stay where they are, and all others are joined by shuffle.  ``rows`` is not
+    returned.  ``how`` is inner or left_semi; both sides are read more than once.
+    """
+    if total is None:
+        total = right.agg(F.sum(rows)).first()[0] or 0
+    hot, rest = right.where(F.col(rows) * HOT_KEYS > total).drop(rows), right.where(F.col(rows) * HOT_KEYS <= total).drop(rows)
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys, how).unionByName(others.join(rest, keys, how))

@@ -11,7 +11,8 @@ the first, that of the smallest document id.
 Sequential parsers open templates in the order of the lines; here a line gives
 one hash for each template it could belong to, so the result depends neither on
 order nor on partitions, and templates are counted by grouped aggregation.
-Leaves that too few lines reach are left out before templates are counted.
+Leaves that too few lines reach are left out before templates are counted.  Leaves
+and templates that hold a large share of all lines are joined by broadcast.
 
 Defined cases: null text stays null and empty text empty; lines of fewer than
 ``MIN_TOKENS`` tokens always stay; lines repeated inside one document count once;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import map_slices, row_key, shared_checkpoint
+from .common import map_slices, row_key, shared_checkpoint, split_join
 
 MIN_TOKENS = 5
 DEPTH = 4
@@ -95,19 +96,19 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     ``docs`` has ``doc_id``, ``text`` and the two keys of its rows.
     """
     lines = shared_checkpoint(_lines(docs))
-    reached = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    inside = lines.join(reached, "leaf", "left_semi")
+    reached = shared_checkpoint(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
+    inside = split_join(lines, reached, ["leaf"], "n", "left_semi")
     spread = inside.select("doc_id", "key_id", "key_text", "line", F.explode("templates").alias("template"))
-    by_doc = spread.groupBy("template", "key_id", "key_text").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-    counted = (
+    by_doc = spread.groupBy("template", "key_id", "key_text").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("rows"))
+    counted = shared_checkpoint(
         by_doc.groupBy("template")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at.doc_id", "key_text", "at.line")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("at.doc_id", "key_text", "at.line")).alias("first"))
         .where(F.col("n") >= min_docs)
-        .select("template", F.xxhash64("first.doc_id", F.lit(11)).alias("first_id"), F.col("first.key_text").alias("first_text"), F.col("first.line").alias("first_line"))
+        .select("template", "rows", F.xxhash64("first.doc_id", F.lit(11)).alias("first_id"), F.col("first.key_text").alias("first_text"), F.col("first.line").alias("first_line"))
     )
     is_first = F.col("key_id").eqNullSafe(F.col("first_id")) & F.col("key_text").eqNullSafe(F.col("first_text")) & (F.col("line") == F.col("first_line"))
     return (
-        spread.join(counted, "template")
+        split_join(spread, counted, ["template"], "rows")
         .where(~is_first)
         .groupBy("key_id", "key_text")
         .agg(F.sort_array(F.collect_set("line")).alias("drop"))
