@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_slices, shared_checkpoint, small_side
+from .common import map_slices, shared_checkpoint, small_side, split_join
 from .components import connected_components
 
 SHINGLE = 5
@@ -274,7 +274,8 @@ def join(
     buckets = shared_checkpoint(
         places.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") > 1)
     )
-    meets = shared_checkpoint(places.select("tree", "prefix", "node").join(buckets.select("tree", "prefix", "head"), ["tree", "prefix"]))
+    heads = buckets.select("tree", "prefix", "head", "n")
+    meets = shared_checkpoint(split_join(places.select("tree", "prefix", "node"), heads, ["tree", "prefix"], "n"))
     groups = connected_components(meets.select(F.col("node").alias("u"), F.col("head").alias("v")))
     cells = _cells(classes, groups, meets, buckets, max_blocks, block_classes)
     wanted = cells.select("doc_id", "text_key").distinct()
@@ -287,13 +288,13 @@ def join(
     )
     roots = connected_components(compared.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
-    named = (
+    named = shared_checkpoint(
         classes.select("c1", "c2", "node", "n_copies")
         .join(links, "node", "left")
         .join(roots, "node", "left")
         .select("c1", "c2", "node", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "node").alias("class"))
     )
-    joined = signed.select("doc_id", "c1", "c2").join(named, ["c1", "c2"])
+    joined = split_join(signed.select("doc_id", "c1", "c2"), named.withColumn("rows", F.col("n_copies")), ["c1", "c2"], "rows")
     given = joined.select("doc_id", F.col("class").alias("class_id"), F.col("node").alias("copy_id"), "n_copies", "n_links")
     alone = rows.where(F.col("text").isNull()).select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
@@ -303,20 +304,18 @@ def join(
 
 def _cells(classes: DataFrame, groups: DataFrame, meets: DataFrame, buckets: DataFrame, max_blocks: int, block_classes: int) -> DataFrame:
     """Where each class is compared: group, tree (-1 for all), its block, and the two blocks of the cell."""
-    members = classes.join(groups, "node").select("node", "root", "doc_id", "text_key", "bytes", "prefixes")
+    members = shared_checkpoint(classes.join(groups, "node").select("node", "root", "doc_id", "text_key", "bytes", "prefixes"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
-    sized = shared_checkpoint(members.join(sizes.select("root", blocks.alias("blocks")), "root"))
+    sized = shared_checkpoint(split_join(members, sizes.select("root", blocks.alias("blocks"), "n"), ["root"], "n", total=members.count()))
     whole = sized.where(F.col("blocks") <= max_blocks).select(
         "node", "doc_id", "text_key", F.lit(None).cast("array<long>").alias("prefixes"), F.col("root").alias("group"), F.lit(-1).alias("tree"), "blocks"
     )
     of_bucket = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    taken_apart = (
-        sized.where(F.col("blocks") > max_blocks)
-        .select("node", "doc_id", "text_key", "prefixes")
-        .join(meets.select("node", "tree", "prefix"), "node")
-        .join(buckets.select("tree", "prefix", of_bucket.alias("blocks")), ["tree", "prefix"])
-        .select("node", "doc_id", "text_key", "prefixes", F.col("prefix").alias("group"), "tree", "blocks")
+    apart = sized.where(F.col("blocks") > max_blocks).select("node", "doc_id", "text_key", "prefixes").join(meets.select("node", "tree", "prefix"), "node")
+    cut = buckets.select("tree", "prefix", of_bucket.alias("blocks"), "n")
+    taken_apart = split_join(apart, cut, ["tree", "prefix"], "n").select(
+        "node", "doc_id", "text_key", "prefixes", F.col("prefix").alias("group"), "tree", "blocks"
     )
     placed = whole.unionByName(taken_apart).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
