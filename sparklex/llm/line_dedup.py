@@ -14,8 +14,9 @@ order nor on partitions, and templates are counted by grouped aggregation.
 Leaves that too few lines reach are left out before templates are counted.  Leaves
 and templates that hold a large share of all lines are joined by broadcast.
 
-Defined cases: null text stays null and empty text empty; lines of fewer than
-``MIN_TOKENS`` tokens always stay; lines repeated inside one document count once;
+Defined cases: null text stays null and empty text empty; lines without a token
+always stay; lines of fewer than ``MIN_MASKED`` tokens that all hold a digit have no
+wildcard, since no fixed token would be left; lines repeated inside one document count once;
 rows repeated with the same id and text are one document, and each of them gives
 a row; extra columns pass through under any name.
 """
@@ -30,7 +31,9 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .common import map_slices, row_key, shared_checkpoint, split_join
 
-MIN_TOKENS = 5
+MIN_TOKENS = 1
+#: Shorter lines keep their digits if no other token is left.
+MIN_MASKED = 5
 DEPTH = 4
 SEGMENTS = 4
 #: Lines of fewer tokens have no wildcard but for digits.
@@ -46,7 +49,9 @@ def _hash(text: str) -> int:
 
 def masked(line: str) -> list[str]:
     """Tokens of a line, those with a digit as a wildcard."""
-    return [WILDCARD if any(map(str.isdigit, token)) else token for token in line.split()]
+    tokens = line.split()
+    out = [WILDCARD if any(map(str.isdigit, token)) else token for token in tokens]
+    return tokens if len(tokens) < MIN_MASKED and all(token == WILDCARD for token in out) else out
 
 
 def leaf(tokens: list[str]) -> str:
@@ -66,7 +71,7 @@ def templates(tokens: list[str]) -> list[str]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line long enough: document, number, leaf and templates."""
+    """A row for each line with tokens: document, number, leaf and templates."""
     longs = ("key_id", "key_text")
     schema = StructType(
         [StructField("doc_id", docs.schema["doc_id"].dataType)]

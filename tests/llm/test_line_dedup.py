@@ -53,6 +53,12 @@ def test_variable_fields(spark):
     assert text[0] == rows[0][1] and text[1] == "own text of document b stays here"
 
 
+def test_short_lines(spark):
+    rows = [(i, f"All rights reserved.\nPage {i}\n{i}00\n\nOwn line {'abc'[i]}") for i in range(3)]
+    text = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert text == {0: rows[0][1], 1: "100\n\nOwn line b", 2: "200\n\nOwn line c"}
+
+
 def test_rows(spark, odd_docs, no_docs):
     out = ld.dedup(odd_docs)
     assert out.schema == odd_docs.schema and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
