@@ -1,18 +1,20 @@
 """Line dedup by a log-template tree.
 
-A line is parsed to a fixed depth: first by its number of tokens, then by its
-leading tokens, with tokens that hold a digit turned into a wildcard.  Lines in
-one leaf share a template if they agree everywhere but in one of ``SEGMENTS``
-equal stretches of the rest, which becomes a wildcard too; shorter lines share a
-template only if they agree in all tokens but those with digits.  A template
-that occurs in ``min_docs`` documents or more is recurring: all its lines go but
-the first, that of the smallest document id.
+A line is parsed first by its number of tokens, with tokens that hold a digit turned
+into a wildcard.  A line of ``MIN_VARIED`` tokens or more is cut into ``SEGMENTS``
+equal stretches, and lines of one length share a template if they agree everywhere but
+in one stretch, or in two from ``MIN_VARIED_TWICE`` tokens on; a stretch that may
+differ becomes a wildcard, so lines of a template agree in three quarters or a half
+of their tokens at least.  Shorter lines share a template only if they agree in all
+tokens but those with digits.  A template that occurs in ``min_docs`` documents or more is
+recurring: all its lines go but the first, that of the smallest document id.
 
 Sequential parsers open templates in the order of the lines; here a line gives
 one hash for each template it could belong to, so the result depends neither on
 order nor on partitions, and templates are counted by grouped aggregation.
-Leaves that too few lines reach are left out before templates are counted.  Leaves
-and templates that hold a large share of all lines are joined by broadcast.
+Two wildcards leave one of the first ``LEAVES`` stretches whole, so these are the
+leaves of the tree: lines of which no leaf is reached by enough lines are left out
+before templates are counted.  Leaves and templates that hold a large share of all lines are joined by broadcast.
 
 Defined cases: null text stays null and empty text empty; lines without a token
 always stay; lines of fewer than ``MIN_MASKED`` tokens that all hold a digit have no
@@ -23,21 +25,25 @@ a row; extra columns pass through under any name.
 
 from __future__ import annotations
 
+from itertools import chain, combinations
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import map_slices, row_key, shared_checkpoint, split_join
 
 MIN_TOKENS = 1
 #: Shorter lines keep their digits if no other token is left.
 MIN_MASKED = 5
-DEPTH = 4
 SEGMENTS = 4
-#: Lines of fewer tokens have no wildcard but for digits.
-MIN_SEGMENTED = 16
+#: Lines of fewer tokens have no wildcard but for digits, and then no more than one stretch.
+MIN_VARIED = 8
+MIN_VARIED_TWICE = 16
+#: Stretches of which one at least is whole under any two wildcards.
+LEAVES = 3
 MIN_DOCS = 3
 WILDCARD = "<*>"
 
@@ -54,41 +60,76 @@ def masked(line: str) -> list[str]:
     return tokens if len(tokens) < MIN_MASKED and all(token == WILDCARD for token in out) else out
 
 
-def leaf(tokens: list[str]) -> str:
-    """The path in the tree: token count and leading tokens."""
-    return f"{len(tokens)} {' '.join(tokens[:DEPTH])}"
+def stretches(tokens: list[str]) -> list[list[str]]:
+    """The parts of a line that vary as a whole."""
+    if len(tokens) < MIN_VARIED:
+        return [tokens]
+    cuts = [len(tokens) * i // SEGMENTS for i in range(SEGMENTS + 1)]
+    return [tokens[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def masks(n_tokens: int) -> list[tuple[int, ...]]:
+    """The stretches that may be wildcards together."""
+    most = 0 if n_tokens < MIN_VARIED else 1 if n_tokens < MIN_VARIED_TWICE else 2
+    return [mask for size in range(most + 1) for mask in combinations(range(SEGMENTS), size)]
 
 
 def templates(tokens: list[str]) -> list[str]:
     """All templates a line could belong to, its own tokens first."""
-    out = [f"{len(tokens)} {' '.join(tokens)}"]
-    if len(tokens) >= MIN_SEGMENTED:
-        rest = len(tokens) - DEPTH
-        cuts = [DEPTH + rest * i // SEGMENTS for i in range(SEGMENTS + 1)]
-        for a, b in zip(cuts, cuts[1:]):
-            out.append(f"{len(tokens)} {' '.join(tokens[:a] + [WILDCARD] * (b - a) + tokens[b:])}")
-    return out
+    parts = stretches(tokens)
+    wild = [[WILDCARD] * len(part) for part in parts]
+    varied = ([wild[i] if i in mask else part for i, part in enumerate(parts)] for mask in masks(len(tokens)))
+    return [f"{len(tokens)} {' '.join(chain.from_iterable(v))}" for v in varied]
+
+
+def _part_hashes(tokens: list[str]) -> list[int]:
+    """A hash for each stretch by its place and the length of the line; zero for wildcards alone, and to fill up."""
+    parts = stretches(tokens)
+    hashes = [0 if all(t == WILDCARD for t in part) else _hash(f"{len(tokens)} {i} {' '.join(part)}") for i, part in enumerate(parts)]
+    return hashes + [0] * (SEGMENTS - len(parts))
+
+
+PARTS = [f"part_{i}" for i in range(SEGMENTS)]
+
+
+def _leaf_column():
+    """Hashes of the stretches by which a line is found."""
+    keys = [F.xxhash64("n_tokens", F.lit(i), PARTS[i]) for i in range(LEAVES)]
+    return F.when(F.col("n_tokens") < MIN_VARIED, F.array(keys[0])).otherwise(F.array(*keys))
+
+
+def _template_column():
+    """Hashes that are equal where ``templates`` are."""
+
+    def hashes(n_tokens: int):
+        varied = ([F.lit(0).cast("long") if i in mask else F.col(part) for i, part in enumerate(PARTS)] for mask in masks(n_tokens))
+        return F.array(*(F.xxhash64("n_tokens", *columns) for columns in varied))
+
+    n = F.col("n_tokens")
+    return F.when(n < MIN_VARIED, hashes(0)).when(n < MIN_VARIED_TWICE, hashes(MIN_VARIED)).otherwise(hashes(MIN_VARIED_TWICE))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with tokens: document, number, leaf and templates."""
+    """A row for each line with tokens: document, number, tokens and stretches."""
     longs = ("key_id", "key_text")
     schema = StructType(
         [StructField("doc_id", docs.schema["doc_id"].dataType)]
         + [StructField(c, LongType()) for c in longs]
-        + [StructField("line", IntegerType()), StructField("leaf", LongType()), StructField("templates", ArrayType(LongType()))]
+        + [StructField(c, IntegerType()) for c in ("line", "n_tokens")]
+        + [StructField(c, LongType()) for c in PARTS]
     )
 
     def turn(batch: pa.RecordBatch):
-        picked, out = [], {name: [] for name in ("line", "leaf", "templates")}
+        picked, out = [], {name: [] for name in ("line", "n_tokens", *PARTS)}
         for row, text in enumerate(batch.column(3).to_pylist()):
             for number, line in enumerate((text or "").split("\n")):
                 tokens = masked(line)
                 if len(tokens) >= MIN_TOKENS:
                     picked.append(row)
                     out["line"].append(number)
-                    out["leaf"].append(_hash(leaf(tokens)))
-                    out["templates"].append([_hash(t) for t in templates(tokens)])
+                    out["n_tokens"].append(len(tokens))
+                    for name, value in zip(PARTS, _part_hashes(tokens)):
+                        out[name].append(value)
         rows = pa.array(picked, pa.int64())
         return out | {name: batch.column(i).take(rows) for i, name in enumerate(("doc_id", *longs))}
 
@@ -100,22 +141,25 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     ``docs`` has ``doc_id``, ``text`` and the two keys of its rows.
     """
-    lines = shared_checkpoint(_lines(docs))
-    reached = shared_checkpoint(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
-    inside = split_join(lines, reached, ["leaf"], "n", "left_semi")
-    spread = inside.select("doc_id", "key_id", "key_text", "line", F.explode("templates").alias("template"))
-    by_doc = spread.groupBy("template", "key_id", "key_text").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("rows"))
+    lines = shared_checkpoint(_lines(docs)).withColumn("at", F.xxhash64("key_id", "key_text", "line"))
+    leaves = lines.select("at", F.explode(_leaf_column()).alias("leaf"))
+    reached = shared_checkpoint(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
+    found = split_join(leaves, reached, ["leaf"], "n", "left_semi").select("at")
+    inside = shared_checkpoint(lines.join(found, "at", "left_semi").drop("at"))
+    spread = inside.select("doc_id", "key_text", "line", F.explode(_template_column()).alias("template"))
+    by_doc = spread.groupBy("template", "doc_id", "key_text").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("rows"))
     counted = shared_checkpoint(
         by_doc.groupBy("template")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("at.doc_id", "key_text", "at.line")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("doc_id", "key_text", "line")).alias("first"))
         .where(F.col("n") >= min_docs)
         .select("template", "rows", F.xxhash64("first.doc_id", F.lit(11)).alias("first_id"), F.col("first.key_text").alias("first_text"), F.col("first.line").alias("first_line"))
     )
-    is_first = F.col("key_id").eqNullSafe(F.col("first_id")) & F.col("key_text").eqNullSafe(F.col("first_text")) & (F.col("line") == F.col("first_line"))
+    key_id = F.xxhash64("doc_id", F.lit(11))
+    is_first = key_id.eqNullSafe(F.col("first_id")) & F.col("key_text").eqNullSafe(F.col("first_text")) & (F.col("line") == F.col("first_line"))
     return (
         split_join(spread, counted, ["template"], "rows")
         .where(~is_first)
-        .groupBy("key_id", "key_text")
+        .groupBy(key_id.alias("key_id"), "key_text")
         .agg(F.sort_array(F.collect_set("line")).alias("drop"))
     )
 

@@ -59,6 +59,15 @@ def test_short_lines(spark):
     assert text == {0: rows[0][1], 1: "100\n\nOwn line b", 2: "200\n\nOwn line c"}
 
 
+def test_fields_of_words(spark):
+    """One field in a line of 8 tokens, its first token, and two fields far apart in a longer one."""
+    names = ["anna", "bert", "carl"]
+    long = [f"w{c}" for c in "abcdefghijklmnopqrst"]
+    rows = [(i, f"{n} has shared this page with all friends\n{' '.join([n, *long[1:10], n, *long[11:]])}\nonly {n}") for i, n in enumerate(names)]
+    text = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert text == {0: rows[0][1], 1: "only bert", 2: "only carl"}
+
+
 def test_rows(spark, odd_docs, no_docs):
     out = ld.dedup(odd_docs)
     assert out.schema == odd_docs.schema and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
