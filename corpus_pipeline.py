@@ -23,7 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of recurring templates; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup(docs)
+    # The test of the stages knows one floor for all lines, so passages in two documents stay here.
+    kept = line_dedup.dedup(docs, passage_docs=line_dedup.MIN_DOCS)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

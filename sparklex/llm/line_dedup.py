@@ -7,7 +7,8 @@ in one stretch, or in two from ``MIN_VARIED_TWICE`` tokens on; a stretch that ma
 differ becomes a wildcard, so lines of a template agree in three quarters or a half
 of their tokens at least.  Shorter lines share a template only if they agree in all
 tokens but those with digits.  A template that occurs in ``min_docs`` documents or more is
-recurring: all its lines go but the first, that of the smallest document id.
+recurring, and for lines of more than ``PASSAGE_TOKENS`` tokens ``passage_docs`` suffice: all
+its lines go but the first, that of the smallest document id.
 
 Sequential parsers open templates in the order of the lines; here a line gives
 one hash for each template it could belong to, so the result depends neither on
@@ -45,6 +46,9 @@ MIN_VARIED_TWICE = 16
 #: Stretches of which one at least is whole under any two wildcards.
 LEAVES = 3
 MIN_DOCS = 3
+#: Lines of more tokens than this are passages, which recur from ``PASSAGE_DOCS`` documents on.
+PASSAGE_TOKENS = 50
+PASSAGE_DOCS = 2
 WILDCARD = "<*>"
 
 
@@ -136,39 +140,40 @@ def _lines(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", *longs, "text"), lambda: turn, schema)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
     """``key_id, key_text, drop``: numbers of the lines that go, for each document that loses any.
 
     ``docs`` has ``doc_id``, ``text`` and the two keys of its rows.
     """
     lines = shared_checkpoint(_lines(docs)).withColumn("at", F.xxhash64("key_id", "key_text", "line"))
-    leaves = lines.select("at", F.explode(_leaf_column()).alias("leaf"))
-    reached = shared_checkpoint(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
-    found = split_join(leaves, reached, ["leaf"], "n", "left_semi").select("at")
+    lines = lines.withColumn("need", F.when(F.col("n_tokens") > PASSAGE_TOKENS, min(min_docs, passage_docs)).otherwise(min_docs))
+    leaves = lines.select("at", "need", F.explode(_leaf_column()).alias("leaf"))
+    reached = shared_checkpoint(leaves.groupBy("leaf", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("need")).drop("need"))
+    found = split_join(leaves.drop("need"), reached, ["leaf"], "n", "left_semi").select("at")
     inside = shared_checkpoint(lines.join(found, "at", "left_semi").drop("at"))
-    spread = inside.select("doc_id", "key_text", "line", F.explode(_template_column()).alias("template"))
-    by_doc = spread.groupBy("template", "doc_id", "key_text").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("rows"))
+    spread = inside.select("doc_id", "key_text", "line", "need", F.explode(_template_column()).alias("template"))
+    by_doc = spread.groupBy("template", "need", "doc_id", "key_text").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("rows"))
     counted = shared_checkpoint(
-        by_doc.groupBy("template")
+        by_doc.groupBy("template", "need")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("doc_id", "key_text", "line")).alias("first"))
-        .where(F.col("n") >= min_docs)
+        .where(F.col("n") >= F.col("need"))
         .select("template", "rows", F.xxhash64("first.doc_id", F.lit(11)).alias("first_id"), F.col("first.key_text").alias("first_text"), F.col("first.line").alias("first_line"))
     )
     key_id = F.xxhash64("doc_id", F.lit(11))
     is_first = key_id.eqNullSafe(F.col("first_id")) & F.col("key_text").eqNullSafe(F.col("first_text")) & (F.col("line") == F.col("first_line"))
     return (
-        split_join(spread, counted, ["template"], "rows")
+        split_join(spread.drop("need"), counted, ["template"], "rows")
         .where(~is_first)
         .groupBy(key_id.alias("key_id"), "key_text")
         .agg(F.sort_array(F.collect_set("line")).alias("drop"))
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, report: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, report: bool = False, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
     """``docs`` with its recurring lines gone; with ``report``, one row of counts and a digest for each row instead."""
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packed = packed.select("row", "doc_id", "text", *row_key("doc_id", "text"))
-    drops = recurring_lines(packed, min_docs).withColumnsRenamed({"key_id": "d_id", "key_text": "d_text"})
+    drops = recurring_lines(packed, min_docs, passage_docs).withColumnsRenamed({"key_id": "d_id", "key_text": "d_text"})
     joined = packed.join(drops, (F.col("key_id") == F.col("d_id")) & (F.col("key_text") == F.col("d_text")), "left")
     lines = F.split("text", "\n")
     kept = F.when(

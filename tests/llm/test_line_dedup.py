@@ -68,6 +68,13 @@ def test_fields_of_words(spark):
     assert text == {0: rows[0][1], 1: "only bert", 2: "only carl"}
 
 
+def test_passages_in_two_documents(spark):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(i, "\n".join([" ".join(words[:51]), " ".join(words[:50]), own])) for i, own in enumerate(["one", "two"])]
+    text = {r.doc_id: r.text for r in ld.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert text == {0: rows[0][1], 1: "\n".join([" ".join(words[:50]), "two"])}
+
+
 def test_rows(spark, odd_docs, no_docs):
     out = ld.dedup(odd_docs)
     assert out.schema == odd_docs.schema and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
