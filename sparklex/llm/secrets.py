@@ -4,7 +4,9 @@ Three shapes are found by pattern.  The test then looks at the other long runs
 of key-like characters: text that a vocabulary knows takes few tokens, a random
 string takes many, so a run with few characters per token is reported as
 ``random``.  Runs that are known to be harmless are left out first: digests of
-the usual lengths, UUIDs, numbers, plain words and dotted or hyphenated names.
+the usual lengths, UUIDs, numbers and dotted or hyphenated names.  Runs without a
+digit are held against words: they count as random only if the run and its
+lower-cased camel-case and separated parts all take many tokens.
 
 Offsets are code points, the end exclusive.  Defined cases: a null text counts
 as an empty one and has no spans; repeated rows each give a row; a text of any
@@ -34,12 +36,15 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters per token below which a run counts as random.
 MAX_CHARS_PER_TOKEN = 2.4
+#: The same for runs without a digit, most of which are long words or names.
+MAX_LETTERS_PER_TOKEN = 2.0
+#: Parts of a name: camel-case words, and capitals.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HARMLESS = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9_+/=-]+"  # numbers, rules
-    r"|[A-Za-z_+/=-]*[a-z]{4,}[A-Za-z_+/=-]*"  # words and names without digits
     r"|(?:[A-Za-z]{2,}|[0-9]{1,8}T?[0-9]{0,6})(?:[_/+=-]+(?:[A-Za-z]{2,}|[0-9]{1,8}))+"  # names and dates in parts
 )
 
@@ -66,11 +71,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
+def is_digest(run: str) -> bool:
+    """Digests of the usual lengths."""
+    return len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) is not None
+
+
 def is_harmless(run: str) -> bool:
     """Digests of the usual lengths, and identifiers."""
-    if len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
-        return True
-    return _HARMLESS.fullmatch(run) is not None
+    return is_digest(run) or _HARMLESS.fullmatch(run) is not None
 
 
 class EfficiencyTest:
@@ -86,10 +94,24 @@ class EfficiencyTest:
 
     def is_random(self, run: str) -> bool:
         body = run.rstrip("=")
-        if not any(c.isdigit() for c in body) or not any(c.isalpha() for c in body) or is_harmless(body):
+        if not any(c.isalpha() for c in body):
+            return False
+        if not any(c.isdigit() for c in body):
+            return not is_digest(body) and self._is_random_letters(body)
+        if is_harmless(body):
             return False
         return len(body) < self.limit * len(self.encoding.encode_ordinary(body))
 
+    def _is_random_letters(self, body: str) -> bool:
+        steps = [abs(ord(a) - ord(b)) <= 1 for a, b in zip(body.lower(), body.lower()[1:])]
+        if 2 * sum(steps) >= len(steps):  # alphabets and repeated letters
+            return False
+        limit = min(self.limit, MAX_LETTERS_PER_TOKEN)
+        if len(body) >= limit * len(self.encoding.encode_ordinary(body)):
+            return False
+        parts = [part.lower() for part in PART.findall(body)]
+        return sum(map(len, parts)) < limit * sum(len(self.encoding.encode_ordinary(" " + part)) for part in parts)
+
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Random runs that lie in none of the spans already found."""
         out = []

@@ -42,6 +42,14 @@ def test_token_efficiency():
     assert [s[2] for s in test.spans(text, secrets.base_spans(text))] == ["random"]
 
 
+def test_runs_without_digits():
+    test = secrets.EfficiencyTest()
+    for random in ("xKqfQzmZrvLpwvWtHBnJ", "QZXKVJWPHGTBNMRLDFCY", "qzxkvjwphgtbnmrldfcy", "qjtzAbCd/XwKpLzQhYvR"):
+        assert test.is_random(random)
+    for plain in ("internationalization", "INTERNATIONALIZATION", "getUserNameFromRequest", "HAVE_SYS_EPOLL_H", "max_chars_per_token_", "----------------"):
+        assert not test.is_random(plain)
+
+
 def test_rows(spark, odd_docs, no_docs):
     rows = secrets.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r.n_assign == r.n_access == r.n_hex == 0 for r in rows)
