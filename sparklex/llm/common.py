@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 SLICE_ROWS = 512
 #: A key with more than one row in this many is hot; no table has more hot keys than this.
 HOT_KEYS = 1000
+#: Keys that a sketch of frequent ones tracks; its error stays below half of a hot key's rows.
+SKETCH_KEYS = 8192
+#: Groups of tasks whose sketches are merged first.
+SKETCH_GROUPS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +67,10 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def row_key(id_col: str, text_col: str) -> list:
+def row_key(id_col: str | Column, text_col: str | Column) -> list:
     """Two 64-bit hashes that stand for a row by its id and text (nulls included)."""
-    return [
-        F.xxhash64(F.col(id_col), F.lit(11)).alias("key_id"),
-        F.xxhash64(F.col(text_col), F.length(F.col(text_col)), F.lit(12)).alias("key_text"),
-    ]
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    return [F.xxhash64(id_col, F.lit(11)).alias("key_id"), F.xxhash64(text, F.length(text), F.lit(12)).alias("key_text")]
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
@@ -92,3 +94,24 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, ho
     hot, rest = right.where(F.col(rows) * HOT_KEYS > total).drop(rows), right.where(F.col(rows) * HOT_KEYS <= total).drop(rows)
     others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return left.join(F.broadcast(hot), keys, how).unionByName(others.join(rest, keys, how))
+
+
+def hot_keys(df: DataFrame, key: str) -> list[int]:
+    """The keys (longs) of ``df`` with more than one in ``HOT_KEYS`` of its rows, and perhaps a few others; at most ``HOT_KEYS``.
+
+    Found by frequent-item sketches of a fixed size, one for each task, which are merged in two steps.  They tell how
+    to deal rows out, never what a result holds.
+    """
+    sketches = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("g")).agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_KEYS})").alias("s"))
+    top = sketches.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {SKETCH_KEYS})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {HOT_KEYS})").alias("top"))
+    row = top.first()  # none without rows
+    found = sorted((r["count"], r["item"]) for r in (row.top if row and row.top else []) if r["item"] is not None)
+    return [item for _, item in found[-HOT_KEYS:]]
+
+
+def split_by_heat(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of hot keys, and all others, whose keys each fit in a task."""
+    keys = hot_keys(df, key)
+    if not keys:
+        return df.where(F.lit(False)), df
+    return df.where(F.col(key).isin(*keys)), df.where(~F.col(key).isin(*keys))

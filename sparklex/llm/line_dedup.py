@@ -15,7 +15,7 @@ one hash for each template it could belong to, so the result depends neither on
 order nor on partitions, and templates are counted by grouped aggregation.
 Two wildcards leave one of the first ``LEAVES`` stretches whole, so these are the
 leaves of the tree: lines of which no leaf is reached by enough lines are left out
-before templates are counted.  Leaves and templates that hold a large share of all lines are joined by broadcast.
+before templates are counted, and so are templates one of whose leaves is not reached.
 
 Defined cases: null text stays null and empty text empty; lines without a token
 always stay; lines of fewer than ``MIN_MASKED`` tokens that all hold a digit have no
@@ -30,11 +30,11 @@ from itertools import chain, combinations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import map_slices, row_key, shared_checkpoint, split_join
+from .common import map_slices, row_key, shared_checkpoint, split_by_heat
 
 MIN_TOKENS = 1
 #: Shorter lines keep their digits if no other token is left.
@@ -103,11 +103,20 @@ def _leaf_column():
 
 
 def _template_column():
-    """Hashes that are equal where ``templates`` are."""
+    """Hashes that are equal where ``templates`` are, of those all of whose leaves are reached (a bit each in ``reached``).
+
+    The lowest bit says whether the line is a passage, so that lines of one template need the same number of documents.
+    """
+    is_passage = F.when(F.col("n_tokens") > PASSAGE_TOKENS, 1).otherwise(0).cast("long")
 
     def hashes(n_tokens: int):
-        varied = ([F.lit(0).cast("long") if i in mask else F.col(part) for i, part in enumerate(PARTS)] for mask in masks(n_tokens))
-        return F.array(*(F.xxhash64("n_tokens", *columns) for columns in varied))
+        out = []
+        for mask in masks(n_tokens):
+            columns = [F.lit(0).cast("long") if i in mask else F.col(part) for i, part in enumerate(PARTS)]
+            leaves = 1 if n_tokens < MIN_VARIED else sum(1 << i for i in range(LEAVES) if i not in mask)
+            value = F.shiftleft(F.shiftright(F.xxhash64("n_tokens", *columns), 1), 1).bitwiseOR(is_passage)
+            out.append(F.when(F.col("reached").bitwiseAND(F.lit(leaves)) == leaves, value))
+        return F.array_compact(F.array(*out))
 
     n = F.col("n_tokens")
     return F.when(n < MIN_VARIED, hashes(0)).when(n < MIN_VARIED_TWICE, hashes(MIN_VARIED)).otherwise(hashes(MIN_VARIED_TWICE))
@@ -115,17 +124,15 @@ def _template_column():
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line with tokens: document, number, tokens and stretches."""
-    longs = ("key_id", "key_text")
     schema = StructType(
-        [StructField("doc_id", docs.schema["doc_id"].dataType)]
-        + [StructField(c, LongType()) for c in longs]
+        [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("key_text", LongType())]
         + [StructField(c, IntegerType()) for c in ("line", "n_tokens")]
         + [StructField(c, LongType()) for c in PARTS]
     )
 
     def turn(batch: pa.RecordBatch):
         picked, out = [], {name: [] for name in ("line", "n_tokens", *PARTS)}
-        for row, text in enumerate(batch.column(3).to_pylist()):
+        for row, text in enumerate(batch.column(2).to_pylist()):
             for number, line in enumerate((text or "").split("\n")):
                 tokens = masked(line)
                 if len(tokens) >= MIN_TOKENS:
@@ -135,55 +142,78 @@ def _lines(docs: DataFrame) -> DataFrame:
                     for name, value in zip(PARTS, _part_hashes(tokens)):
                         out[name].append(value)
         rows = pa.array(picked, pa.int64())
-        return out | {name: batch.column(i).take(rows) for i, name in enumerate(("doc_id", *longs))}
+        return out | {name: batch.column(i).take(rows) for i, name in enumerate(("doc_id", "key_text"))}
+
+    return map_slices(docs.select("doc_id", "key_text", "text"), lambda: turn, schema)
+
 
-    return map_slices(docs.select("doc_id", *longs, "text"), lambda: turn, schema)
+def _reached(lines: DataFrame) -> DataFrame:
+    """``at, reached``: the lines that share a leaf with enough others, and which of their leaves those are."""
+    leaves = lines.select("at", "need", F.posexplode(_leaf_column()).alias("i", "leaf"))
+    leaves = leaves.select("at", "need", "leaf", F.expr("shiftleft(1, i)").alias("bit"))
+    hot, others = split_by_heat(leaves, "leaf")
+    enough = hot.groupBy("leaf", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("need"))
+    many = others.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leaf"))).where(F.col("n") >= F.col("need"))
+    found = many.select("at", "bit").unionByName(hot.join(F.broadcast(enough.select("leaf")), "leaf", "left_semi").select("at", "bit"))
+    return found.groupBy("at").agg(F.bit_or("bit").alias("reached"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
     """``key_id, key_text, drop``: numbers of the lines that go, for each document that loses any.
 
-    ``docs`` has ``doc_id``, ``text`` and the two keys of its rows.
+    ``docs`` has ``doc_id``, ``text`` and ``key_text``, the second of its rows' keys.  Leaves and templates are gathered
+    by one shuffle each; those that hold a large share of all rows stay where they are and are counted first.
     """
-    lines = shared_checkpoint(_lines(docs)).withColumn("at", F.xxhash64("key_id", "key_text", "line"))
-    lines = lines.withColumn("need", F.when(F.col("n_tokens") > PASSAGE_TOKENS, min(min_docs, passage_docs)).otherwise(min_docs))
-    leaves = lines.select("at", "need", F.explode(_leaf_column()).alias("leaf"))
-    reached = shared_checkpoint(leaves.groupBy("leaf", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("need")).drop("need"))
-    found = split_join(leaves.drop("need"), reached, ["leaf"], "n", "left_semi").select("at")
-    inside = shared_checkpoint(lines.join(found, "at", "left_semi").drop("at"))
-    spread = inside.select("doc_id", "key_text", "line", "need", F.explode(_template_column()).alias("template"))
-    by_doc = spread.groupBy("template", "need", "doc_id", "key_text").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("rows"))
-    counted = shared_checkpoint(
-        by_doc.groupBy("template", "need")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.min(F.struct("doc_id", "key_text", "line")).alias("first"))
-        .where(F.col("n") >= F.col("need"))
-        .select("template", "rows", F.xxhash64("first.doc_id", F.lit(11)).alias("first_id"), F.col("first.key_text").alias("first_text"), F.col("first.line").alias("first_line"))
+    least = min(min_docs, passage_docs)
+    lines = shared_checkpoint(_lines(docs)).withColumns(
+        {"at": F.xxhash64("doc_id", "key_text", "line"), "need": F.when(F.col("n_tokens") > PASSAGE_TOKENS, least).otherwise(min_docs)}
     )
-    key_id = F.xxhash64("doc_id", F.lit(11))
-    is_first = key_id.eqNullSafe(F.col("first_id")) & F.col("key_text").eqNullSafe(F.col("first_text")) & (F.col("line") == F.col("first_line"))
-    return (
-        split_join(spread.drop("need"), counted, ["template"], "rows")
-        .where(~is_first)
-        .groupBy(key_id.alias("key_id"), "key_text")
-        .agg(F.sort_array(F.collect_set("line")).alias("drop"))
+    inside = shared_checkpoint(lines.drop("need").join(_reached(lines).hint("merge"), "at").drop("at"))
+    spread = inside.select(F.explode(_template_column()).alias("template"), "doc_id", "key_text", "line")
+    need = F.when(F.col("template").bitwiseAND(F.lit(1)) == 1, least).otherwise(min_docs)
+    hot, others = split_by_heat(spread, "template")
+
+    together = Window.partitionBy("template")
+    placed = others.withColumn("place", F.rank().over(together.orderBy("doc_id", "key_text", "line")))
+    placed = placed.withColumn("doc", F.dense_rank().over(together.orderBy("doc_id", "key_text"))).withColumn("n", F.max("doc").over(together))
+    later = placed.where((F.col("n") >= need) & (F.col("place") > 1)).select("doc_id", "key_text", "line")
+
+    firsts = (
+        hot.groupBy("template", "doc_id", "key_text")
+        .agg(F.min("line").alias("line"))
+        .groupBy("template")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key_text", "line")).alias("first"))
+        .where(F.col("n") >= need)
+        .select("template", "first")
     )
+    hot_later = hot.join(F.broadcast(firsts), "template").where(~F.struct("doc_id", "key_text", "line").eqNullSafe(F.col("first"))).select("doc_id", "key_text", "line")
+    return later.unionByName(hot_later).groupBy(F.xxhash64("doc_id", F.lit(11)).alias("key_id"), "key_text").agg(F.collect_set("line").alias("drop"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, report: bool = False, passage_docs: int = PASSAGE_DOCS) -> DataFrame:
     """``docs`` with its recurring lines gone; with ``report``, one row of counts and a digest for each row instead."""
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = packed.select("row", "doc_id", "text", *row_key("doc_id", "text"))
-    drops = recurring_lines(packed, min_docs, passage_docs).withColumnsRenamed({"key_id": "d_id", "key_text": "d_text"})
-    joined = packed.join(drops, (F.col("key_id") == F.col("d_id")) & (F.col("key_text") == F.col("d_text")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(
-        F.col("drop").isNotNull(), F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("drop", i)), "\n")
-    ).otherwise(F.col("text"))
+    named = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)))
+    doc_id, raw = (F.col(f"c_{docs.columns.index(c)}") for c in (id_col, text_col))
+    key_id, key_text = row_key(doc_id, raw.cast("string"))
+    keyed = named.withColumns({"key_id": key_id, "key_text": key_text})
+    drops = recurring_lines(keyed.select(doc_id.alias("doc_id"), raw.cast("string").alias("text"), "key_text"), min_docs, passage_docs)
+    drops = drops.withColumnsRenamed({"key_id": "d_id", "key_text": "d_text"}).hint("shuffle_hash")
+    sent = keyed.select(doc_id, raw, "key_id", "key_text") if report else keyed
+    joined = sent.join(drops, (F.col("key_id") == F.col("d_id")) & (F.col("key_text") == F.col("d_text")), "left")
+    text = raw.cast("string")
+
+    def without(lines):
+        """Lines whose numbers are not dropped; linear, since the numbers are taken away as a set."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop")
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # Bound by a lambda, so that a text is split once.
+    kept = F.when(F.col("drop").isNull(), text).otherwise(F.get(F.transform(F.array(F.split(text, "\n")), without), F.lit(0)))
     if report:
         return joined.select(
-            "doc_id",
-            F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+            doc_id.alias("doc_id"),
+            F.when(raw.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
             F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
             F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
         )
-    return joined.select(*(kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return joined.select(*(kept.alias(c) if c == text_col else F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)))
