@@ -56,14 +56,3 @@ def wildcard_regex(pattern: str) -> str:
     """Java pattern of a whole-term wildcard: ``*`` any run, ``?`` one character."""
     parts = {"*": ".*", "?": "."}
     return "(?d)^" + "".join(parts.get(c, re.escape(c)) for c in pattern) + r"\z"
-
-
-def java_regex(pattern: str) -> str | None:
-    """A user's pattern for the JVM, or None if it has what a linear-time engine refuses."""
-    if re.search(r"\(\?<?[=!]|\\[1-9]|\\k<|\(\?>|[*+?}]\+", pattern):
-        return None
-    try:
-        re.compile(re.sub(r"\\z|\\[pP]\{[^}]*\}|\\[pP].|\[:\^?\w+:\]", "x", pattern))
-    except re.error:
-        return None
-    return "(?d)" + pattern.replace("(?P<", "(?<")

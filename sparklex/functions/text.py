@@ -90,7 +90,7 @@ def has_term(tokens: Column, term: str) -> Column:
     return F.coalesce(F.array_contains(tokens, term), F.lit(False))
 
 
-#: Stands between terms, and for removed ones, in a joined token array; no term holds them.
+#: Stands between terms, and for removed ones, in a joined token array.
 _BETWEEN, _REMOVED = "\x01", "\x02"
 
 
@@ -98,17 +98,39 @@ def has_phrase(tokens: Column, terms: list[str]) -> Column:
     """True where the terms stand at consecutive positions; an empty phrase is nowhere.
 
     The tokens are joined once and searched as a string, which stays inside
-    generated code; a lambda over positions would not.
+    generated code.  Only of the few rows found so whose tokens hold a separator
+    themselves are the positions compared.
     """
     if not terms:
         return F.lit(False)
-    return F.coalesce(F.contains(_joined(tokens), F.lit(_BETWEEN + _BETWEEN.join(terms) + _BETWEEN)), F.lit(False))
+    last = F.size(tokens) - len(terms)
+
+    def here(i: Column) -> Column:
+        out = F.lit(True)
+        for k, term in enumerate(terms):
+            out = out & F.coalesce(F.get(tokens, i + k) == term, F.lit(False))
+        return out
+
+    exact = F.exists(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), here)
+    found = F.contains(_joined(tokens), F.lit(_BETWEEN + _BETWEEN.join(terms) + _BETWEEN))
+    return F.coalesce(found & (_plain(tokens, terms) | exact), F.lit(False))
 
 
 def has_prefix(tokens: Column, start: str) -> Column:
     """True where a term starts so; searched like a phrase."""
-    some = F.size(F.array_compact(tokens)) > 0 if not start else F.contains(_joined(tokens), F.lit(_BETWEEN + start))
-    return F.coalesce(some, F.lit(False))
+    if not start:
+        return F.coalesce(F.size(F.array_compact(tokens)) > 0, F.lit(False))
+    exact = F.coalesce(F.exists(tokens, lambda t: F.coalesce(F.startswith(t, F.lit(start)), F.lit(False))), F.lit(False))
+    found = F.contains(_joined(tokens), F.lit(_BETWEEN + start))
+    return F.coalesce(found & (_plain(tokens, [start]) | exact), F.lit(False))
+
+
+def _plain(tokens: Column, terms: list[str]) -> Column:
+    """True where neither the terms nor any token hold a separator, so that a joined search is exact."""
+    if any(c in term for term in terms for c in (_BETWEEN, _REMOVED)):
+        return F.lit(False)
+    together = F.array_join(tokens, "")
+    return ~F.contains(together, F.lit(_BETWEEN)) & ~F.contains(together, F.lit(_REMOVED))
 
 
 def _joined(tokens: Column) -> Column:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import java_regex
+from ..functions.patterns import java_regex
 from ..functions.text import has_phrase, has_term
 from ..plans.mapping import Schema
 from ..plans.query import MUST, MUST_NOT, PHRASE, SHOULD, Clause, Query, Range, Regex, Terms
 
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
@@ -80,11 +82,20 @@ def in_terms(corpus: DataFrame, schema: Schema, terms: Terms) -> Column:
 def in_regex(corpus: DataFrame, schema: Schema, regex: Regex) -> Column:
     """The pattern occurs in the stored value; one that does not compile excludes all."""
     value, pattern = _stored(corpus, schema, regex.field), java_regex(regex.pattern)
-    if value is None or pattern is None:
+    if value is None or pattern is None or not _compiles(corpus, pattern):
         return F.lit(False)
     return value.rlike(pattern)
 
 
+def _compiles(corpus: DataFrame, pattern: str) -> bool:
+    """Does the JVM know all classes of a pattern?  Asked once, before any row is read."""
+    try:
+        corpus.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except Py4JJavaError:
+        return False
+
+
 def passes(corpus: DataFrame, schema: Schema, query: Query) -> Column:
     """All ranges, terms and regexes of a query."""
     return all_of(

@@ -72,21 +72,50 @@ def measured_fields(corpus: DataFrame) -> list[str]:
     return [c[2:] for c in corpus.columns if c.startswith("l_")]
 
 
+def _occurrences(tokens: Column) -> Column:
+    """``array<struct<term, positions>>`` of the distinct terms of a token array, by one sort of its elements.
+
+    Each step is bound by a lambda, so that it is computed once for each row.
+    """
+    pairs = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda p: p["term"].isNotNull())
+
+    def grouped(run: Column) -> Column:
+        begins = F.filter(_upto(F.size(run)), lambda i: (i == 0) | (F.get(run, i)["term"] != F.get(run, i - 1)["term"]))
+
+        def cut(starts: Column) -> Column:
+            def one(start: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(starts, j + 1), F.size(run))
+                return F.struct(F.get(run, start)["term"].alias("term"), F.transform(F.slice(run, start + 1, end - start), lambda p: p["pos"]).alias("positions"))
+
+            return F.transform(starts, one)
+
+        return F.get(F.transform(F.array(begins), cut), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(pairs)), grouped), F.lit(0))
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """``field, term, doc_id, freq, positions, length, boost``: the inverted index."""
+    """``field, term, doc_id, freq, positions, length, boost``: the inverted index.
+
+    A document's tokens lie in one row, and so do the postings they make: they are
+    grouped there, and nothing is shuffled.
+    """
     parts, corpus = None, settled(corpus, indexed_fields(corpus))
     for f in indexed_fields(corpus):
-        part = corpus.where(F.col(f"v_{f}").isNotNull()).select(
-            "doc_id", F.lit(f).alias("field"), F.col(f"l_{f}").alias("length"), F.col(f"b_{f}").alias("boost"), F.posexplode(f"t_{f}").alias("pos", "term")
-        )
+        rows = corpus.where(F.col(f"v_{f}").isNotNull())
+        head = ["doc_id", F.lit(f).alias("field"), F.col(f"l_{f}").alias("length"), F.col(f"b_{f}").alias("boost")]
+        if f"r_{f}" in corpus.columns:
+            part = rows.select(*head, F.struct(F.col(f"r_{f}").alias("term"), F.array(F.lit(0)).alias("positions")).alias("p"))
+        else:
+            part = rows.select(*head, F.explode(_occurrences(F.col(f"t_{f}"))).alias("p"))
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         raise ValueError("no field is indexed")
-    return (
-        parts.where(F.col("term").isNotNull())
-        .groupBy("field", "term", "doc_id")
-        .agg(F.count(F.lit(1)).alias("freq"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"), F.first("boost").alias("boost"))
-    )
+    return parts.select("field", "p.term", "doc_id", F.size("p.positions").cast("long").alias("freq"), "p.positions", "length", "boost")
 
 
 def term_dictionary(corpus: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Ranked boolean search over a stored inverted index.
+"""Search over a stored inverted index: ranked boolean queries and term expansion.
 
 Only the postings of the query's own terms are read: the field picks a partition,
 the term a few row groups.  They are gathered by document, matched and scored
 without touching the documents, which are joined for filters and fields, and if
-nothing but the score orders them, for the top rows alone.
+nothing but the score orders them, for the top rows alone.  Fuzzy and wildcard
+searches test the terms of the stored dictionary, and prefixes are a range of
+terms, so neither reads a text.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from .search import Statistics
 
 @dataclass(frozen=True)
 class StoredIndex:
-    """Postings ``field, term, doc_id, freq, positions, length, boost`` and ``field, n_docs, avg_length``.
+    """Postings ``field, term, doc_id, freq, positions, length, boost``; ``field, n_docs, avg_length``; terms ``field, term, df``.
 
     ``indexed`` names the fields that have postings; others have lengths only.
     """
 
     postings: DataFrame
     field_stats: DataFrame
+    terms: DataFrame
     indexed: tuple[str, ...]
 
     def statistics(self, n_rows: int | None = None) -> Statistics:
@@ -41,10 +44,11 @@ def _wanted(query: Query) -> list[tuple[str, str]]:
     return list(dict.fromkeys((c.field, t) for c in query.clauses for t in c.terms))
 
 
-def _read(index: StoredIndex, wanted: list[tuple[str, str]]) -> DataFrame:
+def _of_terms(table: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """The rows of a table by field and term that some terms have."""
     fields = sorted({f for f, _ in wanted})
     rule = any_of([(F.col("field") == f) & F.col("term").isin(*[t for g, t in wanted if g == f]) for f in fields])
-    return index.postings.where(F.col("field").isin(*fields) & F.col("term").isin(*[t for _, t in wanted]) & rule)
+    return table.where(F.col("field").isin(*fields) & F.col("term").isin(*[t for _, t in wanted]) & rule)
 
 
 def _consecutive(positions: list[Column]) -> Column:
@@ -56,9 +60,10 @@ def _consecutive(positions: list[Column]) -> Column:
 def match_postings(index: StoredIndex, query: Query, bm25: Bm25, n_rows: int | None = None) -> DataFrame:
     """``doc_id, score, terms`` of the documents that match a query with clauses."""
     wanted = _wanted(query)
-    found = _read(index, wanted)
-    df = {(r.field, r.term): r["count"] for r in found.groupBy("field", "term").count().collect()}
-    stats = index.statistics(n_rows)
+    found = _of_terms(index.postings, wanted)
+    scored = [(c.field, c.term) for c in query.clauses if c.kind not in (MUST_NOT, PHRASE)]
+    df = {(r.field, r.term): r.df for r in _of_terms(index.terms, scored).select("field", "term", "df").collect()} if scored else {}
+    stats = index.statistics(n_rows) if df else Statistics()
     in_phrases = {(c.field, t) for c in query.clauses if c.kind == PHRASE for t in c.terms}
     columns = []
     for i, (f, t) in enumerate(wanted):
@@ -87,3 +92,28 @@ def match_postings(index: StoredIndex, query: Query, bm25: Bm25, n_rows: int | N
         terms.append(F.when(p.isNotNull(), F.lit(c.term)))
     found_terms = F.array_compact(F.array(*terms)) if terms else F.array().cast("array<string>")
     return docs.where(rule).select("doc_id", score.alias("score"), found_terms.alias("terms"))
+
+
+#: Terms that an expansion looks up by value; more are joined.
+LOOKUP_TERMS = 2000
+
+
+def expand_postings(index: StoredIndex, field: str, test: Column, top_k: int, bm25: Bm25, n_rows: int | None = None) -> DataFrame:
+    """``doc_id, score``: the best BM25 score of any term of a field that passes a test on ``term``."""
+    here = F.col("field") == field
+    matched = index.terms.where(here & test).select("term", "df")
+    few = matched.limit(LOOKUP_TERMS + 1).collect()
+    found = index.postings.where(here)
+    if len(few) <= LOOKUP_TERMS:
+        found = found.where(F.col("term").isin(*[r.term for r in few]) if few else F.lit(False))
+        matched = F.broadcast(index.terms.sparkSession.createDataFrame([(r.term, r.df) for r in few], "term string, df bigint"))
+    stats = index.statistics(n_rows)
+    part = idf(F.lit(float(stats.n)), F.col("df")) * bm25.tf(F.col("freq"), F.col("length"), F.lit(float(stats.average.get(field) or 0.0))) * F.col("boost")
+    hits = found.join(matched, "term").groupBy("doc_id").agg(F.max(part).alias("score")).orderBy(F.desc("score"), "doc_id")
+    return hits.limit(top_k) if top_k > 0 else hits
+
+
+def prefix_postings(index: StoredIndex, field: str, start: str) -> DataFrame:
+    """``doc_id, score`` of the documents with a term that starts so, unranked: score 0, by id."""
+    found = index.postings.where((F.col("field") == field) & F.col("term").startswith(start))
+    return found.select("doc_id").distinct().select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id")

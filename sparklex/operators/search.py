@@ -81,29 +81,47 @@ class Statistics:
     df: dict[tuple[str, str], int] = field(default_factory=dict)
 
 
-def statistics(corpus: DataFrame, wanted: list[tuple[str, str]], n_mode: str, measure: tuple[str, ...] = ()) -> Statistics:
+@dataclass
+class Totals:
+    """What has been learnt of one version of a corpus: counts, average lengths, document frequencies."""
+
+    rows: int | None = None
+    instances: int | None = None
+    average: dict[str, float] = field(default_factory=dict)
+    df: dict[tuple[str, str], int] = field(default_factory=dict)
+
+
+def statistics(corpus: DataFrame, wanted: list[tuple[str, str]], n_mode: str, measure: tuple[str, ...] = (), totals: Totals | None = None) -> Statistics:
     """Corpus size, and of the wanted terms document frequencies and their fields' average lengths, in one pass.
 
-    ``measure`` names further fields whose average length is asked for.
+    ``measure`` names further fields whose average length is asked for.  What
+    ``totals`` has is not computed again, and what is computed is added there; the
+    pass reads the columns of what is missing alone, and none is made if nothing is.
 
     ``n_mode`` "field_instances" counts every indexed value as a document, "documents"
     counts rows.
     """
+    totals = Totals() if totals is None else totals
     indexed = set(indexed_fields(corpus))
     wanted = [w for w in dict.fromkeys(wanted) if w[0] in indexed]
     fields = [f for f in dict.fromkeys([*(f for f, _ in wanted), *measure]) if f in measured_fields(corpus)]
-    row = settled(corpus, fields).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count(f"v_{f}").alias(f"n_{f}") for f in sorted(indexed)),
-        *(F.avg(f"l_{f}").alias(f"a_{f}") for f in fields),
-        *(F.count_if(has_term(F.col(f"t_{f}"), t)).alias(f"d_{i}") for i, (f, t) in enumerate(wanted)),
-    ).first()
-    instances = sum(row[f"n_{f}"] for f in indexed)
-    return Statistics(
-        instances if n_mode == "field_instances" else row["n"],
-        {f: row[f"a_{f}"] or 0.0 for f in fields},
-        {w: row[f"d_{i}"] for i, w in enumerate(wanted)},
-    )
+    new_fields, new_terms = [f for f in fields if f not in totals.average], [w for w in wanted if w not in totals.df]
+    asked = [F.avg(f"l_{f}").alias(f"a_{f}") for f in new_fields]
+    asked += [F.count_if(has_term(F.col(f"t_{f}"), t)).alias(f"d_{i}") for i, (f, t) in enumerate(new_terms)]
+    if n_mode == "field_instances" and totals.instances is None:
+        asked += [F.count(f"v_{f}").alias(f"n_{f}") for f in sorted(indexed)]
+    if n_mode != "field_instances" and totals.rows is None:
+        asked.append(F.count(F.lit(1)).alias("n"))
+    if asked:
+        row = settled(corpus, [*new_fields, *(f for f, _ in new_terms)]).agg(*asked).first()
+        totals.average |= {f: row[f"a_{f}"] or 0.0 for f in new_fields}
+        totals.df |= {w: row[f"d_{i}"] for i, w in enumerate(new_terms)}
+        if n_mode == "field_instances" and totals.instances is None:
+            totals.instances = sum(row[f"n_{f}"] for f in indexed)
+        if n_mode != "field_instances" and totals.rows is None:
+            totals.rows = row["n"]
+    n = totals.instances if n_mode == "field_instances" else totals.rows
+    return Statistics(n or 0, {f: totals.average[f] for f in fields}, {w: totals.df[w] for w in wanted})
 
 
 def score(corpus: DataFrame, query: Query, stats: Statistics, bm25: Bm25) -> Column:
@@ -143,16 +161,17 @@ def sort_key(corpus: DataFrame, schema: Schema, name: str) -> Column:
     return F.col(f"v_{name}")
 
 
-def match_rows(corpus: DataFrame, schema: Schema, query: Query, bm25: Bm25, n_mode: str) -> DataFrame:
+def match_rows(corpus: DataFrame, schema: Schema, query: Query, bm25: Bm25, n_mode: str, totals: Totals | None = None, scored: bool = True) -> DataFrame:
     """Rows of the corpus that match, with ``score`` and the matched terms.
 
     A query without clauses matches by its ranges alone, and nothing without any.
+    Statistics are gathered only if a score is asked for that depends on them.
     """
     if not query.clauses:
         rule = filters.passes(corpus, schema, query) if query.ranges else F.lit(False)
         return corpus.where(rule).withColumns({"score": F.lit(0.0), "terms": F.array().cast("array<string>")})
     wanted = [(c.field, c.term) for c in query.clauses if c.kind not in (MUST_NOT, PHRASE)]
-    stats = statistics(corpus, wanted, n_mode)
+    stats = statistics(corpus, wanted, n_mode, totals=totals) if scored and wanted else Statistics()
     corpus = settled(corpus, [c.field for c in query.clauses])
     found = [F.when(filters.holds(corpus, c), F.lit(c.term)) for c in query.clauses if c.kind in (MUST, SHOULD)]
     rows = corpus.where(filters.passes(corpus, schema, query) & filters.matches(corpus, query))
@@ -168,9 +187,10 @@ def search(
     bm25: Bm25 = Bm25(),
     analyzer: Analyzer = Analyzer(),
     n_mode: str = "field_instances",
+    totals: Totals | None = None,
 ) -> SearchResult:
     """Hits ``doc_id, fields, score, highlights``, best first, or by the sort fields."""
-    return present(match_rows(corpus, schema, query, bm25, n_mode), corpus, schema, top_k, options, analyzer)
+    return present(match_rows(corpus, schema, query, bm25, n_mode, totals), corpus, schema, top_k, options, analyzer)
 
 
 def present(rows: DataFrame, corpus: DataFrame, schema: Schema, top_k: int, options: SearchOptions, analyzer: Analyzer) -> SearchResult:

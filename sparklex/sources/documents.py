@@ -40,6 +40,13 @@ def from_json(df: DataFrame, json_col: str, fields: list[str], vectors: tuple[st
     return rows.select(*columns)
 
 
+def field_names(df: DataFrame, json_col: str) -> dict[str, bool]:
+    """The fields of JSON documents, and whether they are vectors."""
+    pairs = df.select(F.explode(F.from_json(F.col(json_col), DOCUMENT_TYPE)["fields"]).alias("name", "field"))
+    rows = pairs.groupBy("name").agg(F.max(F.col("field.vector").isNotNull()).alias("is_vector")).collect()
+    return {r.name: r.is_vector for r in rows}
+
+
 def search_field(name: str = "", boost: float = 1.0, is_id: bool = False, **options):
     """A dataclass field that is searched under a name with a boost, or is the id."""
     return dataclasses.field(metadata={"search": {"name": name, "boost": boost, "id": is_id}}, **options)
@@ -83,6 +90,18 @@ def latest(df: DataFrame, key: str, seq: Column | str) -> DataFrame:
     return picked.agg(F.max_by("__row", "__seq").alias("__row")).select("__row.*")
 
 
+def distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row for each key; rows of a repeated key are told apart by a digest of their content.
+
+    The keys alone are counted first: without repeats ``df`` is returned as it is, else only the repeated rows are merged.
+    """
+    repeated = df.groupBy(key).count().where(F.col("count") > 1).select(key)
+    if not repeated.take(1):
+        return df
+    merged = latest(df.join(repeated, key, "left_semi"), key, F.sha2(F.to_json(F.struct("*")), 256))
+    return df.join(repeated, key, "left_anti").unionByName(merged)
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``current`` with the rows of ``new`` in place of those with the same key."""
     kept = current.join(new.select(key), key, "left_anti")

@@ -31,22 +31,53 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``, which is made the session's checkpoint folder.
+
+    On a single machine the warehouse stands in where it is unset; on a cluster that
+    would be a folder of the driver's own, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 class MemoryStore:
-    """Documents held by the session: ``key, value``."""
+    """Documents held by the session: ``key, value``; the lineage is cut every ``CUT_EVERY`` changes."""
 
     kind = "memory"
     SCHEMA = "key string, value string"
 
+    CUT_EVERY = 10
+
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self._changes = spark, 0
         self._rows = spark.createDataFrame([], self.SCHEMA)
 
+    def _become(self, rows: DataFrame) -> None:
+        self._changes += 1
+        if self._changes % self.CUT_EVERY == 0:
+            checkpoint_folder(self.spark)
+            rows = rows.checkpoint()
+        self._rows = rows
+
     def put(self, rows: DataFrame) -> None:
         rows = rows.select("key", "value")
-        self._rows = self._rows.join(rows.select("key"), "key", "left_anti").unionByName(rows)
+        self._become(self._rows.join(rows.select("key"), "key", "left_anti").unionByName(rows))
 
     def delete(self, *keys: str) -> None:
-        self._rows = self._rows.where(~F.col("key").isin(*keys)) if keys else self._rows
+        if keys:
+            self.delete_all(self.spark.createDataFrame([(k,) for k in keys], "key string"))
+
+    def delete_all(self, keys: DataFrame) -> None:
+        """Delete the keys that a DataFrame lists."""
+        self._become(self._rows.join(keys.select("key"), "key", "left_anti"))
 
     def each(self) -> DataFrame:
         return self._rows
@@ -65,7 +96,7 @@ class MemoryStore:
         self._rows = self.spark.createDataFrame([], self.SCHEMA)
 
     def compact(self) -> None:
-        """Nothing to do."""
+        """Nothing to do; the lineage is cut as the store changes."""
 
     def close(self) -> None:
         """Nothing to do."""
@@ -97,9 +128,8 @@ class ParquetStore(MemoryStore):
     def put(self, rows: DataFrame) -> None:
         self._append(rows)
 
-    def delete(self, *keys: str) -> None:
-        if keys:
-            self._append(self.spark.createDataFrame([(k, None) for k in keys], "key string, value string"))
+    def delete_all(self, keys: DataFrame) -> None:
+        self._append(keys.select("key", F.lit(None).cast("string").alias("value")))
 
     def each(self) -> DataFrame:
         return latest(self._log(), "key", "seq").where(F.col("value").isNotNull()).select("key", "value")

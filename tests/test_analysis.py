@@ -6,11 +6,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparklex.functions.scoring import Bm25, byte_levenshtein, cosine, idf, java_regex, wildcard_regex
+from sparklex.functions.patterns import java_regex
+from sparklex.functions.scoring import Bm25, byte_levenshtein, cosine, idf, wildcard_regex
 from sparklex.functions.text import (
-    ENGLISH_STOP_WORDS, Analyzer, StopWordFilter, english_stop_words, has_phrase, lowercase_filter, standard_tokenizer, token_count, whitespace_tokenizer,
+    ENGLISH_STOP_WORDS, Analyzer, StopWordFilter, english_stop_words, has_phrase, has_prefix, lowercase_filter, standard_tokenizer, token_count, whitespace_tokenizer,
 )
-from sparklex.functions.values import decode_int64, encode_int64, infer_type, parse_float
+from sparklex.functions.values import decode_float64, decode_int64, encode_float64, encode_int64, infer_type, parse_float
 
 
 def values(spark, expression, rows, schema="v string"):
@@ -98,3 +99,51 @@ def test_patterns(spark):
     assert match("a.c", ["abc", "a.c"]) == ["a.c"]
     assert java_regex("(?=a)b") is None and java_regex("(") is None and java_regex(r"(a)\1") is None
     assert java_regex("^act") is not None
+
+
+@pytest.mark.parametrize(
+    "pattern, yes, no",
+    [
+        (r"^C\++$", ["C+", "C++"], ["C", "CC"]),
+        (r"[-*+/]x", ["-x", "/x"], ["x", "ax"]),
+        (r"\Qa.b\E", ["a.b"], ["axb"]),
+        (r"^x(?i)y$", ["xy", "xY"], ["Xy"]),
+        (r"^\\1$", ["\\1"], ["1"]),
+        (r"a$", ["a", "ba"], ["a\n"]),
+        (r"(?m)^b$", ["a\nb\nc"], ["ab"]),
+        (r"^a.c$", ["abc", "a\rc"], ["a\nc"]),
+        (r"^[[:alpha:]]+[^[:^digit:]]$", ["ab1"], ["1", "ab"]),
+        (r"^\s$", ["\t"], ["\x0b"]),
+        (r"\bcat\b", ["a cat.", "\u00e9cat"], ["cats"]),
+        (r"^[]a]+$", ["]a"], ["b"]),
+        (r"^a{2}b{,3}$", ["aab{,3}"], ["aabbb"]),
+        (r"^\x41\x{1F600}\101$", ["A\U0001F600A"], ["AA"]),
+        (r"^\pL\p{Greek}\PN$", ["a\u03b1x"], ["a\u03b11"]),
+        (r"^(?P<a_b>x|y)*?$", ["xyx", ""], ["z"]),
+        (r"(?s:^a.b$)|^$", ["a\nb", ""], ["ab"]),
+    ],
+)
+def test_patterns(spark, pattern, yes, no):
+    rows = spark.createDataFrame([(t,) for t in yes + no], "t string").where(F.col("t").rlike(java_regex(pattern))).collect()
+    assert sorted(r.t for r in rows) == sorted(yes)
+
+
+def test_refused_patterns():
+    for pattern in ("(?=a)b", "(?<!a)b", r"(a)\1", "a**", "a*+", "a{2}{3}", "x{1001}", "(a{100}){100}", "[z-a]", "[a", "(a", "a)", "*a", "(|*)", r"\p{nope}", r"\q", "a\\", "(?P<n>a)(?P<n>b)", "(?<>a)", "(?z)a", r"[[:nope:]]"):
+        assert java_regex(pattern) is None, pattern
+
+
+def test_phrases_with_separators_in_tokens(spark):
+    texts = ["a\x01b a", "x a b", "a \x02 b", "a\x01b", "b a"]
+    tokens = lambda c: whitespace_tokenizer(c)
+    assert values(spark, lambda c: has_phrase(tokens(c), ["a", "b"]), texts) == [False, True, False, False, False]
+    assert values(spark, lambda c: has_phrase(tokens(c), ["a\x01b"]), texts) == [True, False, False, True, False]
+    assert values(spark, lambda c: has_phrase(F.array(F.lit("a"), F.lit(None).cast("string"), c), ["a", "\x02"]), ["b"]) == [False]
+    assert values(spark, lambda c: has_prefix(tokens(c), "b"), texts) == [False, True, True, False, True]
+    assert values(spark, lambda c: has_prefix(tokens(c), "a\x01"), texts) == [True, False, False, True, False]
+
+
+def test_float_codes(spark):
+    numbers = [float("-inf"), -1e300, -2.5, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.5, 2.0, 1e300, float("inf")]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", encode_float64(F.col("x")).alias("code")).select("x", "code", decode_float64(F.col("code")).alias("back")).collect()
+    assert [r.x for r in sorted(rows, key=lambda r: r.code)] == numbers and all(str(r.x) == str(r.back) for r in rows)
