@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SIDE_BY_SIDE = 64
 #: Pieces merged in one numpy call.
 GROUP = 4096
-#: Pieces a task remembers before it forgets them all.
-CACHE_PIECES = 300_000
+#: Bytes of pieces and their ids that a task remembers before it forgets them all; long pieces are not remembered.
+CACHE_BYTES = 16 << 20
 
 _NONE = np.int64(1) << 62
 
@@ -243,7 +243,7 @@ class SegmentTreeBpe:
 class TextEncoder:
     """Whole texts to ids: splits by the pattern, merges each piece, remembers pieces."""
 
-    def __init__(self, path: str | None = None, pattern: str | None = None, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str | None = None, pattern: str | None = None, cache_bytes: int = CACHE_BYTES):
         if pattern is None:
             import public_tokenizers
 
@@ -251,25 +251,28 @@ class TextEncoder:
         self.bpe = SegmentTreeBpe(read_ranks(vocabulary_path(path)))
         self.split = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
-        self.cache_pieces = cache_pieces
+        self.cache_bytes, self.cached = cache_bytes, 0
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
         split = [self.split.findall(text) for text in texts]
-        fresh: dict[str, None] = {}
-        for pieces in split:
-            for piece in pieces:
-                if piece not in self.cache:
-                    fresh[piece] = None
-        if len(self.cache) + len(fresh) > self.cache_pieces:
-            self.cache = {}
-            fresh = {piece: None for pieces in split for piece in pieces}
+        if self.cached > self.cache_bytes:
+            self.cache, self.cached = {}, 0
+        cache = self.cache
+        fresh = list({piece: None for pieces in split for piece in pieces if piece not in cache})
+        long = {}
         if fresh:
             raw = [piece.encode("utf-8", "surrogatepass") for piece in fresh]
             merged = self.bpe.encode_pieces(raw)
-            self.cache.update((piece, merged[key]) for piece, key in zip(fresh, raw))
-        cache = self.cache
-        return [b"".join([cache[piece] for piece in pieces]) for pieces in split]
+            for piece, key in zip(fresh, raw):
+                if len(key) > SIDE_BY_SIDE:
+                    long[piece] = merged[key]
+                else:
+                    cache[piece] = merged[key]
+                    self.cached += len(key) + len(merged[key])
+        if not long:
+            return [b"".join([cache[piece] for piece in pieces]) for pieces in split]
+        return [b"".join([cache[piece] if piece in cache else long[piece] for piece in pieces]) for pieces in split]
 
     def decode_ids(self, ids: bytes) -> bytes:
         """Bytes of ids given as little-endian 32-bit integers."""

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows a worker turns at once; a batch is cut into pieces of this many rows.
+#: Rows, and bytes of strings, that a worker turns at once; a batch is cut into pieces of this size, but a row is never cut.
 SLICE_ROWS = 512
+SLICE_BYTES = 8 << 20
 #: A key with more than one row in this many is hot; no table has more hot keys than this.
 HOT_KEYS = 1000
 #: Keys that a sketch of frequent ones tracks; its error stays below half of a hot key's rows.
@@ -24,18 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, which is made the session's checkpoint folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only when neither the
-    session nor its context names one (single-machine tests) a folder under the
-    warehouse is used.
+    Where neither the session nor its context names one, a single machine takes a
+    folder under the warehouse; on a cluster that is an error, since the warehouse
+    may be a folder of the driver's own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -44,7 +56,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     ``make`` runs once in each task and returns the function that turns a slice
     into a dictionary of columns, so vocabularies and caches live as long as the
-    task.  Memory follows the slice, not the partition.
+    task.  Memory follows the slice, in rows and in bytes, not the partition.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,8 +65,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                columns = turn(batch.slice(start, SLICE_ROWS))
+            for start, end in slices(batch):
+                columns = turn(batch.slice(start, end - start))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[field.name], type=field.type) for field in arrow_schema], schema=arrow_schema
                 )
@@ -62,6 +74,20 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch: at most ``SLICE_ROWS`` rows and ``SLICE_BYTES`` bytes of strings, or one row."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        end = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(total, before + SLICE_BYTES, "right"))))
+        yield start, min(end, batch.num_rows)
+        start = end
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, under fixed names."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

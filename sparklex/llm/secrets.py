@@ -5,8 +5,9 @@ of key-like characters: text that a vocabulary knows takes few tokens, a random
 string takes many, so a run with few characters per token is reported as
 ``random``.  Runs that are known to be harmless are left out first: digests of
 the usual lengths, UUIDs, numbers and dotted or hyphenated names.  Runs without a
-digit are held against words: they count as random only if the run and its
-lower-cased camel-case and separated parts all take many tokens.
+digit are held against words: they count as random only from ``MIN_LETTERS``
+characters on, and if the run and its lower-cased camel-case and separated parts
+all take many tokens.  All steps are linear in the length of a run.
 
 Offsets are code points, the end exclusive.  Defined cases: a null text counts
 as an empty one and has no spans; repeated rows each give a row; a text of any
@@ -33,7 +34,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
 #: Key-like characters in a row that the efficiency test looks at.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Runs without a digit are mostly words, and must be longer to be told from them.
+MIN_LETTERS = 16
 #: Characters per token below which a run counts as random.
 MAX_CHARS_PER_TOKEN = 2.4
 #: The same for runs without a digit, most of which are long words or names.
@@ -45,7 +48,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _HARMLESS = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9_+/=-]+"  # numbers, rules
-    r"|(?:[A-Za-z]{2,}|[0-9]{1,8}T?[0-9]{0,6})(?:[_/+=-]+(?:[A-Za-z]{2,}|[0-9]{1,8}))+"  # names and dates in parts
+    r"|(?:[A-Za-z]{2,}|[0-9]{1,8}(?:T[0-9]{1,6}Z?)?)(?:[_/+=-]+(?:[A-Za-z]{2,}|[0-9]{1,8}(?:T[0-9]{1,6}Z?)?))+"  # names and dates in parts
 )
 
 Span = tuple[int, int, str]
@@ -97,7 +100,7 @@ class EfficiencyTest:
         if not any(c.isalpha() for c in body):
             return False
         if not any(c.isdigit() for c in body):
-            return not is_digest(body) and self._is_random_letters(body)
+            return len(body) >= MIN_LETTERS and not is_digest(body) and self._is_random_letters(body)
         if is_harmless(body):
             return False
         return len(body) < self.limit * len(self.encoding.encode_ordinary(body))
@@ -114,9 +117,13 @@ class EfficiencyTest:
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Random runs that lie in none of the spans already found."""
-        out = []
+        out, taken, at = [], sorted((a, b) for a, b, _ in taken), 0
+        reach = 0  # end of the furthest span that starts before the run
         for m in RUN.finditer(text):
-            if self.is_random(m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            while at < len(taken) and taken[at][0] < m.end():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if reach <= m.start() and self.is_random(m.group()):
                 out.append((m.start(), m.end(), "random"))
         return out
 

@@ -44,7 +44,7 @@ def test_both_trees_agree(encoder):
 
 
 def test_a_full_cache_changes_nothing(reference):
-    small = bpe.TextEncoder(cache_pieces=3)
+    small = bpe.TextEncoder(cache_bytes=3)
     for text in ("one two three four five", "five six", "one"):
         assert ids_of(small, text) == reference.encode_ordinary(text)
 

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+import string
+import time
 
 import pytest
 
@@ -56,3 +60,119 @@ def test_rows(spark, odd_docs, no_docs):
     assert secrets.scan(no_docs).collect() == []
     docs = spark.createDataFrame([(1, "password=hunter22")], "doc_id bigint, text string")
     assert secrets.scan(docs).first().spans == "assign:0:17"
+
+
+ALPHABETS = {
+    "base62": string.ascii_letters + string.digits,
+    "lower": string.ascii_lowercase + string.digits,
+    "upper": string.ascii_uppercase + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+    "url": string.ascii_letters + string.digits + "-_",
+    "letters": string.ascii_letters,
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("length", [12, 16, 20, 24, 32, 40, 64])
+def test_planted_secrets_are_found(name, length):
+    """Recall of random strings that no pattern of the contract finds, in running text."""
+    if name == "letters" and length < secrets.MIN_LETTERS:
+        pytest.skip("too short to be told from a word")
+    test, rng = secrets.EfficiencyTest(), random.Random(f"{name}{length}")
+    found = 0
+    for _ in range(300):
+        key = ""
+        while not key or (length < secrets.MIN_LETTERS and not any(c.isdigit() for c in key)):
+            key = "".join(rng.choice(ALPHABETS[name]) for _ in range(length))
+        found += (5, 5 + length, "random") in test.spans(f"text {key} goes on", [])
+    assert found >= 0.97 * 300, found
+
+
+def test_harmless_strings_are_left():
+    test = secrets.EfficiencyTest()
+    for run in (
+        "2019-01-02T030405", "2019/01/02/some-title", "d41d8cd98f00b204e9800998ecf8427e", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "550e8400-e29b-41d4-a716-446655440000",
+        "version-2-release-10", "1234567890123456", "----====----====", "some_variable_name_1", "AbstractFactoryBean2", "/usr/local/lib/python3", "configuration2024",
+    ):
+        assert not test.spans(run, []), run
+
+
+@pytest.mark.parametrize("run", ["a" * 1_000_000 + "1", "ab-" * 333_333 + "1x", "1" * 1_000_000 + "x", "aB3" * 333_333, "qzxkvjwp" * 125_000, "=" * 1_000_000, "token=" * 160_000, "a1=" * 300_000])
+def test_long_runs_take_linear_time(run):
+    test = secrets.EfficiencyTest()
+    began = time.perf_counter()
+    test.spans(run, secrets.base_spans(run))
+    assert time.perf_counter() - began < 3
+
+
+def brute(text, encoding):
+    """All spans of a text by plain scans of its characters."""
+    text, spans = text or "", []
+    key = set(string.ascii_letters + string.digits + "+/_.=-")
+    i = 0
+    while i < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "apikey", "api_key") if text[i : i + len(w)].lower() == w and text[i : i + len(w)].isascii()), None)
+        j = i + len(word or "")
+        if word:
+            j += text[j : j + 1] in tuple("\"'")
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] in (":", "="):
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in tuple("\"'")
+                end = j
+                while end < len(text) and text[end] in key:
+                    end += 1
+                if end > j:
+                    spans += [(i, 0, end, "assign")] if end - j >= 6 else []
+                    i = end
+                    continue
+        i += 1
+    for order, kind, start, chars, least in ((1, "access", "AKIA", string.ascii_uppercase + string.digits, 20), (2, "hex", "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            end = i + len(start)
+            if text.startswith(start, i):
+                while end < len(text) and text[end] in chars:
+                    end += 1
+            if text.startswith(start, i) and end > i + len(start):
+                spans += [(i, order, end, kind)] if end - i >= least else []
+                i = end
+            else:
+                i += 1
+    base = sorted(spans)
+    rest = set(string.ascii_letters + string.digits + "+/_=-")
+    i = 0
+    while i < len(text):
+        end = i
+        while end < len(text) and text[end] in rest:
+            end += 1
+        run = text[i:end].rstrip("=")
+        if end - i >= 12 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not secrets.is_harmless(run):
+            if len(run) < 2.4 * len(encoding.encode_ordinary(run)) and not any(a < end and i < b for a, _, b, _ in base):
+                spans.append((i, 3, end, "random"))
+        i = max(end, i + 1)
+    return base, sorted(spans)
+
+
+def test_query_like_brute_force(spark):
+    rng = random.Random(8)
+    encoding = secrets.EfficiencyTest().encoding
+    parts = ["password", "Token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abc", "x9", "AKIA", "ABCDEF12", "0123abcdef", "deadbeef", "\n", "\u00e9", ".", "hunter2", "secret"]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(300)] + [(900, None), (901, "")]
+    alphabet = ALPHABETS["base64"]
+    docs += [(1000 + i, f"key {''.join(rng.choice(alphabet) for _ in range(20))}1a and {'x' * i}") for i in range(50)]
+    found = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()}
+    added = 0
+    for i, text in docs:
+        base, spans = brute(text, encoding)
+        r, name = found[i], lambda s: f"{s[3]}:{s[0]}:{s[2]}"
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(map(name, base)).encode()).hexdigest()
+        got = [s for s in r.spans.split(",") if s]
+        letters = [s for s in got if s.startswith("random") and not any(c.isdigit() for c in text[int(s.split(":")[1]) : int(s.split(":")[2])])]
+        assert [s for s in got if s not in letters] == list(map(name, spans)), (i, text)
+        added += any(s.startswith("random") for s in got)
+    assert added >= 45
