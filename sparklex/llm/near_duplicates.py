@@ -1,25 +1,37 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 1. Texts with the same words form a copy class; everything below sees one of each.
-2. Each of ``TREES`` trees holds the classes by a signature of min-hashes over
-   their word 5-grams.  Classes with the same first hashes are neighbours in the
-   sorted trie.  The prefix starts at ``MAX_DEPTH`` hashes and is shortened until
-   a pair at the threshold shares one in some tree with the target probability.
-3. Neighbours are gathered by connected components of the shared prefixes, so
+2. Each of ``TREES`` trees is a prefix trie of signatures, ``MAX_DEPTH`` min-hashes
+   over the word 5-grams of a class.  A trie is kept as its sorted leaves: classes
+   with a common prefix are adjacent, and the depth to which adjacent ones agree
+   is the length of their matched prefix.  The sort is by ranges of all hashes, so
+   a prefix that very many classes have is spread over many tasks.
+3. Matched prefixes are shortened from ``MAX_DEPTH`` on, until the matches found
+   are ``TARGET_RECALL`` of those at the lowest depth.  That is the one at which
+   even a pair right at the threshold shares a prefix in some tree with the
+   target probability.  Two classes are compared if they share a prefix of the
+   depth so reached in some tree; this rule is the same at every size.
+4. Classes to be compared are gathered by connected components of the matches, so
    that each text travels once.  A component is cut into blocks of bounded size,
    and a task compares two blocks by products of their incidence matrices, which
    gives the exact Jaccard similarity of every pair without a row for any of
-   them.  A component of very many blocks is taken apart again into its single
-   prefixes, and a pair counts in the first tree where it meets.
-4. A task returns, for each class, how many it links to and the root of its part;
+   them.  A component of very many blocks is taken apart into its single prefixes,
+   where a pair counts in the first tree in which it meets; this finds the same.
+5. A task returns, for each class, how many it links to and the root of its part;
    the parts are joined by connected components.
 
+The number of links of all texts grows with the square of a group of near copies,
+and so does the work of counting them; it is dealt out in cells of two blocks.
+
 Words are runs of digits, letters a-z (after lower-casing A-Z) and characters
 beyond ASCII.  A text of one to four words has one shingle, all its words.  Equal
 texts without words are copies of each other.  A null text is like nothing, not
-even another null.  A document is named by its integer id: rows that repeat an id
-share its class; null ids get a class of their own by text, and an id is null
-there.  Texts are read whole, long ones in pieces.
+even another null.  Ids may be of any type that can be ordered, negative numbers
+and strings included.  Rows that repeat an id with another text are documents of
+their own; a null id comes after all others, so a class is named null only if
+none of its rows has an id.  Rows repeated with the same id and text each give a
+row.  Texts are read whole, long ones in pieces; other columns are not read, whatever
+their names.  A pair right at the threshold is linked.
 """
 
 from __future__ import annotations
@@ -28,11 +40,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import map_slices, shared_checkpoint, small_side, split_join
+from .common import map_slices, row_key, shared_checkpoint, small_side, split_join
 from .components import connected_components
 
 SHINGLE = 5
@@ -41,10 +54,10 @@ TREES = 16
 MAX_DEPTH = 8
 TARGET_RECALL = 0.998
 #: A block holds about this many classes, or bytes of text, at most.
-BLOCK_CLASSES = 1200
+BLOCK_CLASSES = 600
 BLOCK_BYTES = 12 << 20
-#: Components of more blocks are compared prefix by prefix.
-MAX_BLOCKS = 24
+#: Components of more blocks are compared prefix by prefix, with the same result.
+MAX_BLOCKS = 48
 #: Columns of an incidence matrix multiplied at once.
 MATRIX_COLUMNS = 4096
 #: Bytes of a text hashed at once.
@@ -64,6 +77,16 @@ def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, target: flo
     return depth
 
 
+def shortened_depth(matches: dict[int, int], floor: int, target: float = TARGET_RECALL, deepest: int = MAX_DEPTH) -> int:
+    """The longest prefix that keeps the target share of all matches; ``matches`` counts them by the depth they reach."""
+    total, found = sum(matches.values()), 0
+    for depth in range(deepest, floor, -1):
+        found += matches.get(depth, 0)
+        if found >= target * total:
+            return depth
+    return floor
+
+
 def canonical(text: str) -> bytes:
     """The words of a text, lower-cased and joined by single blanks."""
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().translate(_SPACE).split())
@@ -125,55 +148,116 @@ def shingles(words: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 class Forest:
-    """Signatures of shingle sets: for each tree, a hash of its first min-hashes."""
+    """Signatures of shingle sets: for each tree, its first min-hashes as one key, and short prints of the deeper ones."""
 
-    def __init__(self, depth: int, trees: int = TREES):
+    def __init__(self, floor: int, trees: int = TREES, deepest: int = MAX_DEPTH):
         rng = np.random.default_rng(20)
-        count = depth * trees
+        count = deepest * trees
         self.factor = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.offset = rng.integers(0, 1 << 63, count, dtype=np.uint64)
-        self.shape = (trees, depth)
+        self.shape, self.floor, self.bits = (trees, deepest), floor, print_bits(floor, deepest)
 
-    def prefixes(self, hashes: np.ndarray) -> np.ndarray:
-        """One 64-bit hash for each tree's prefix."""
+    def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree, a 64-bit hash of the first ``floor`` min-hashes, and prints of the others, the first one highest."""
         low = np.full(len(self.factor), np.iinfo(np.uint64).max, np.uint64)
         for start in range(0, len(hashes), 512):
             np.minimum(low, (hashes[start : start + 512, None] * self.factor + self.offset).min(0), out=low)
         low = low.reshape(self.shape)
         out = np.arange(1, self.shape[0] + 1, dtype=np.uint64)
-        for level in range(self.shape[1]):
+        for level in range(self.floor):
             out = _mix(out * _FACTOR + low[:, level])
-        return out.view(np.int64)
+        tail = np.zeros(self.shape[0], np.uint64)
+        for level in range(self.floor, self.shape[1]):
+            tail = tail << np.uint64(self.bits) | _mix(low[:, level]) >> np.uint64(64 - self.bits)
+        return out.view(np.int64), tail.view(np.int64)
 
 
-def _trees() -> list[str]:
-    return [f"t{i}" for i in range(TREES)]
+def print_bits(floor: int, deepest: int = MAX_DEPTH) -> int:
+    """Bits of the print of one deeper hash; all of them fit in a long."""
+    return min(21, 62 // max(1, deepest - floor))
 
 
-def _signatures(rows: DataFrame, size: int, depth: int) -> DataFrame:
-    """``doc_id, text_key``, the copy class (two hashes), its bytes, and the tree prefixes (null without shingles)."""
-    names = ["doc_id", "text_key", "c1", "c2", "bytes", *_trees()]
-    schema = StructType([StructField(n, LongType()) for n in names])
+def _signatures(rows: DataFrame, size: int, floor: int) -> DataFrame:
+    """``doc_id, key_text``, the copy class (two hashes), its bytes, and the signature (null without shingles)."""
+    longs = ["key_text", "c1", "c2", "bytes"]
+    schema = StructType(
+        [StructField("doc_id", rows.schema["doc_id"].dataType)] + [StructField(n, LongType()) for n in longs] + [StructField(n, ArrayType(LongType())) for n in ("prefixes", "tails")]
+    )
 
     def make():
-        forest = Forest(depth)
+        forest = Forest(floor)
 
         def turn(batch: pa.RecordBatch):
-            copies, prefixes = [], []
+            copies, signs = [], []
             for text in batch.column(2).to_pylist():
                 words = canonical(text)
                 own = words or b"\0" + text.encode("utf-8", "surrogatepass")
                 copies.append((xxhash.xxh3_128_intdigest(own), len(words)))
-                prefixes.append(forest.prefixes(shingles(words, size)) if words else None)
+                signs.append(forest.sign(shingles(words, size)) if words else (None, None))
             digest = np.frombuffer(b"".join(c.to_bytes(16, "little") for c, _ in copies), "<i8").reshape(-1, 2)
-            out = {"doc_id": batch.column(0), "text_key": batch.column(1), "c1": digest[:, 0], "c2": digest[:, 1], "bytes": [n for _, n in copies]}
-            for i, name in enumerate(_trees()):
-                out[name] = [None if p is None else int(p[i]) for p in prefixes]
-            return out
+            return {
+                "doc_id": batch.column(0), "key_text": batch.column(1), "c1": digest[:, 0], "c2": digest[:, 1], "bytes": [n for _, n in copies],
+                "prefixes": [p for p, _ in signs], "tails": [t for _, t in signs],
+            }
 
         return turn
 
-    return map_slices(rows, make, schema)
+    return map_slices(rows.select("doc_id", "key_text", "text"), make, schema)
+
+
+def trie_matches(places: DataFrame, floor: int, deepest: int = MAX_DEPTH) -> DataFrame:
+    """``u, v, depth``: leaves next to each other in some sorted trie, and the longest prefix they share, ``floor`` at least.
+
+    ``places`` has ``tree, prefix, tail, node``.  Classes that share a prefix of any depth are a run of leaves, so
+    matches of that depth connect them.  The last leaf of each task and the first of the next one are matched apart.
+    """
+    order, bits = ["tree", "prefix", "tail", "node"], print_bits(floor, deepest)
+    schema = StructType([StructField("depth", IntegerType())] + [StructField(n, LongType()) for n in ("u", "v", "part", "tree", "prefix", "tail")])
+
+    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Depth to which tails agree, beside equal prefixes."""
+        out = np.full(len(a), floor)
+        for level in range(deepest - floor):
+            out += (a >> (bits * (deepest - floor - 1 - level))) == (b >> (bits * (deepest - floor - 1 - level)))
+        return out
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        last = None
+
+        def edge(kind: int, row: np.ndarray) -> pa.RecordBatch:
+            values = [[kind], [int(row[3])], [int(row[3])], [part], [int(row[0])], [int(row[1])], [int(row[2])]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32()] + [pa.int64()] * 6)], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
+            if last is None:
+                yield edge(0, rows[:, 0])
+            else:
+                rows = np.concatenate([last[:, None], rows], 1)
+            last = rows[:, -1]
+            near = np.flatnonzero((rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1]))
+            depth = shared(rows[2, near], rows[2, near + 1])
+            zeros = np.zeros(len(near), np.int64)
+            columns = [pa.array(depth, pa.int32()), pa.array(rows[3, near]), pa.array(rows[3, near + 1]), *[pa.array(zeros)] * 4]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        if last is not None:
+            yield edge(-1, last)
+
+    found = shared_checkpoint(places.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    # Two rows for each task.
+    ends = found.where(F.col("depth") <= 0).withColumns(
+        {f"next_{c}": F.lead(c).over(Window.orderBy("part", F.desc("depth"))) for c in ("part", "tree", "prefix", "tail", "u")}
+    )
+    ends = ends.where((F.col("depth") == -1) & (F.col("next_part") != F.col("part")) & (F.col("tree") == F.col("next_tree")) & (F.col("prefix") == F.col("next_prefix")))
+    depth = F.lit(floor)
+    for level in range(deepest - floor):
+        by = bits * (deepest - floor - 1 - level)
+        depth = depth + F.when(F.shiftright("tail", by) == F.shiftright("next_tail", by), 1).otherwise(0)
+    matched = found.where(F.col("depth") > 0).select("u", "v", "depth").unionByName(ends.select("u", F.col("next_u").alias("v"), depth.alias("depth")))
+    return matched.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("depth").alias("depth"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -231,16 +315,66 @@ def _compare_cell(cell: pd.DataFrame, size: int, similarity: float) -> pd.DataFr
     common = intersections(sets_a, sets_a if left == right else [sets[i] for i in b])
     union = lengths[a][:, None] + lengths[b][None, :] - common
     linked = (common >= similarity * union - 1e-3) & (nodes[a][:, None] != nodes[b][None, :])
+    prefixes = np.array(cell["prefixes"].tolist(), np.int64)
     if tree >= 0:  # a pair counts in the first tree where it meets
-        prefixes = np.array(cell["prefixes"].tolist(), np.int64)
         for earlier in range(tree):
             linked &= prefixes[a, earlier][:, None] != prefixes[b, earlier][None, :]
+    else:  # and only if it meets in any
+        meets = np.zeros_like(linked)
+        for t in range(prefixes.shape[1]):
+            meets |= prefixes[a, t][:, None] == prefixes[b, t][None, :]
+        linked &= meets
     full = np.zeros((len(nodes), len(nodes)), bool)
     full[np.ix_(a, b)] = linked
     full |= full.T
     return pd.DataFrame({"node": nodes, "root": _parts(full, nodes), "links": full.sum(1).astype(np.int64)})
 
 
+def _first():
+    """The smallest id, ids before nulls; then the smallest text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_text"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, max_blocks: int, block_classes: int) -> DataFrame:
+    """For each row with a text: its keys, and ``class`` and ``copy`` (first document of each), ``n_copies, n_links``."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    some = named.where(F.col("text").isNotNull()).select("doc_id", "text", *row_key("doc_id", "text"))
+    floor = prefix_depth(similarity)
+    signed = shared_checkpoint(_signatures(some, size, floor))
+    classes = signed.groupBy("c1", "c2").agg(
+        _first().alias("first"), F.count(F.lit(1)).alias("n_copies"), F.max("bytes").alias("bytes"), F.any_value("prefixes").alias("prefixes"), F.any_value("tails").alias("tails")
+    )
+    # Numbered once and stored, so that the numbers stay.
+    classes = shared_checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    shingled = classes.where(F.col("prefixes").isNotNull())
+    places = shingled.select("node", F.posexplode(F.arrays_zip("prefixes", "tails")).alias("tree", "at")).select("tree", F.col("at.prefixes").alias("prefix"), F.col("at.tails").alias("tail"), "node")
+    matches = shared_checkpoint(trie_matches(places, floor))
+    depth = shortened_depth({r.depth: r["count"] for r in matches.groupBy("depth").count().collect()}, floor)
+    groups = connected_components(matches.where(F.col("depth") >= depth).select("u", "v"))
+    cut = print_bits(floor) * (MAX_DEPTH - depth)
+    deeper = F.col("prefixes") if depth == floor else F.transform(F.arrays_zip("prefixes", "tails"), lambda p: F.xxhash64(p["prefixes"], F.shiftright(p["tails"], cut)))
+    keyed = shingled.select("node", "bytes", deeper.alias("prefixes"), F.xxhash64("first.doc_id", F.lit(11)).alias("key_id"), F.col("first.key_text").alias("key_text"))
+    cells = _cells(keyed, groups, max_blocks, block_classes)
+    wanted = cells.select("key_id", "key_text").distinct()
+    texts = some.join(small_side(shared_checkpoint(wanted), BROADCAST_ROWS), ["key_id", "key_text"], "left_semi").select("key_id", "key_text", "text")
+    if _has_repeats(some.select("key_id", "key_text")):
+        texts = texts.dropDuplicates(["key_id", "key_text"])
+    filled = cells.join(texts, ["key_id", "key_text"])
+    compared = shared_checkpoint(
+        filled.groupBy("group", "tree", "left", "right").applyInPandas(lambda cell: _compare_cell(cell, size, similarity), "node long, root long, links long")
+    )
+    roots = connected_components(compared.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")))
+    links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
+    own = classes.select("c1", "c2", "node", "first", "n_copies").join(roots, "node", "left").join(links, "node", "left")
+    own = shared_checkpoint(own.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
+    linked = own.where(F.col("root").isNotNull())
+    heads = linked.groupBy("root").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n"))
+    columns = ["c1", "c2", F.col("first").alias("copy"), "n_copies", "n_links", "class"]
+    of_class = split_join(linked, heads, ["root"], "n").select(*columns).unionByName(own.where(F.col("root").isNull()).withColumn("class", F.col("first")).select(*columns))
+    of_class = shared_checkpoint(of_class.withColumn("rows", F.col("n_copies")))
+    return split_join(signed.select("doc_id", "key_text", "c1", "c2"), of_class, ["c1", "c2"], "rows")
+
+
 def join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -257,71 +391,34 @@ def join(
     these words; ``n_links`` the number of other copy classes of at least the
     given similarity.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col), F.lit(12)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    some = rows.where(F.col("text").isNotNull())
-    signed = shared_checkpoint(_signatures(some, size, prefix_depth(similarity)))
-    classes = signed.groupBy("c1", "c2").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"),
-        F.count(F.lit(1)).alias("n_copies"),
-        F.max("bytes").alias("bytes"),
-        *(F.max(t).alias(t) for t in _trees()),
-    )
-    # A class is named by its smallest id; without any, by a negative hash that no id has.
-    node = F.coalesce(F.col("first.doc_id"), -1 - F.pmod(F.col("c1"), F.lit(1 << 62)))
-    classes = shared_checkpoint(classes.select("c1", "c2", node.alias("node"), "first.doc_id", "first.text_key", "n_copies", "bytes", F.array(*_trees()).alias("prefixes")))
-
-    places = classes.where(F.col("prefixes")[0].isNotNull()).select("node", "bytes", F.posexplode("prefixes").alias("tree", "prefix"))
-    buckets = shared_checkpoint(
-        places.groupBy("tree", "prefix").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") > 1)
-    )
-    heads = buckets.select("tree", "prefix", "head", "n")
-    meets = shared_checkpoint(split_join(places.select("tree", "prefix", "node"), heads, ["tree", "prefix"], "n"))
-    groups = connected_components(meets.select(F.col("node").alias("u"), F.col("head").alias("v")))
-    cells = _cells(classes, groups, meets, buckets, max_blocks, block_classes)
-    wanted = cells.select("doc_id", "text_key").distinct()
-    texts = some.join(small_side(shared_checkpoint(wanted), BROADCAST_ROWS), ["doc_id", "text_key"], "left_semi")
-    if _has_repeats(signed.select("doc_id", "text_key")):
-        texts = texts.dropDuplicates(["doc_id", "text_key"])
-    filled = cells.join(texts, ["doc_id", "text_key"])
-    compared = shared_checkpoint(
-        filled.groupBy("group", "tree", "left", "right").applyInPandas(lambda cell: _compare_cell(cell, size, similarity), "node long, root long, links long")
-    )
-    roots = connected_components(compared.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")))
-    links = compared.groupBy("node").agg(F.sum("links").alias("n_links"))
-    named = shared_checkpoint(
-        classes.select("c1", "c2", "node", "n_copies")
-        .join(links, "node", "left")
-        .join(roots, "node", "left")
-        .select("c1", "c2", "node", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "node").alias("class"))
-    )
-    joined = split_join(signed.select("doc_id", "c1", "c2"), named.withColumn("rows", F.col("n_copies")), ["c1", "c2"], "rows")
-    given = joined.select("doc_id", F.col("class").alias("class_id"), F.col("node").alias("copy_id"), "n_copies", "n_links")
-    alone = rows.where(F.col("text").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
+    judged = _judged(docs, id_col, text_col, size, similarity, max_blocks, block_classes)
+    given = judged.select("doc_id", F.col("class.doc_id").alias("class_id"), F.col("copy.doc_id").alias("copy_id"), "n_copies", "n_links")
+    doc_id = F.col(id_col)
+    alone = docs.where(F.col(text_col).isNull()).select(
+        doc_id.alias("doc_id"), doc_id.alias("class_id"), doc_id.alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")
     )
     return given.unionByName(alone)
 
 
-def _cells(classes: DataFrame, groups: DataFrame, meets: DataFrame, buckets: DataFrame, max_blocks: int, block_classes: int) -> DataFrame:
+def _cells(classes: DataFrame, groups: DataFrame, max_blocks: int, block_classes: int) -> DataFrame:
     """Where each class is compared: group, tree (-1 for all), its block, and the two blocks of the cell."""
-    members = shared_checkpoint(classes.join(groups, "node").select("node", "root", "doc_id", "text_key", "bytes", "prefixes"))
+
+    def blocks(n: str, size: str):
+        return F.greatest(F.ceil(F.col(n) / block_classes), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+
+    members = shared_checkpoint(classes.join(groups, "node"))
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("all_bytes") / BLOCK_BYTES)).cast("int")
-    sized = shared_checkpoint(split_join(members, sizes.select("root", blocks.alias("blocks"), "n"), ["root"], "n", total=members.count()))
-    whole = sized.where(F.col("blocks") <= max_blocks).select(
-        "node", "doc_id", "text_key", F.lit(None).cast("array<long>").alias("prefixes"), F.col("root").alias("group"), F.lit(-1).alias("tree"), "blocks"
-    )
-    of_bucket = F.greatest(F.ceil(F.col("n") / block_classes), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    apart = sized.where(F.col("blocks") > max_blocks).select("node", "doc_id", "text_key", "prefixes").join(meets.select("node", "tree", "prefix"), "node")
-    cut = buckets.select("tree", "prefix", of_bucket.alias("blocks"), "n")
-    taken_apart = split_join(apart, cut, ["tree", "prefix"], "n").select(
-        "node", "doc_id", "text_key", "prefixes", F.col("prefix").alias("group"), "tree", "blocks"
+    sized = shared_checkpoint(split_join(members, sizes.select("root", blocks("n", "all_bytes").alias("blocks"), "n"), ["root"], "n", total=members.count()))
+    own = ["node", "key_id", "key_text", "prefixes"]
+    whole = sized.where(F.col("blocks") <= max_blocks).select(*own, F.col("root").alias("group"), F.lit(-1).alias("tree"), "blocks")
+    apart = sized.where(F.col("blocks") > max_blocks).select(*own, "bytes", F.posexplode("prefixes").alias("tree", "prefix"))
+    buckets = shared_checkpoint(
+        apart.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")).where(F.col("n") > 1).select("tree", "prefix", "n", blocks("n", "all_bytes").alias("blocks"))
     )
+    taken_apart = split_join(apart, buckets, ["tree", "prefix"], "n").select(*own, F.col("prefix").alias("group"), "tree", "blocks")
     placed = whole.unionByName(taken_apart).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return placed.select("*", other).select(
-        "node", "doc_id", "text_key", "prefixes", "group", "tree", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
-    )
+    return placed.select("*", other).select(*own, "group", "tree", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
 
 
 def _has_repeats(rows: DataFrame) -> bool:
@@ -329,14 +426,20 @@ def _has_repeats(rows: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id.
+    """``docs`` with one row of each class: the one that names it, see :func:`join`.
 
-    Null texts and null ids always stay; of rows that repeat an id one stays.
+    Null texts always stay.  Rows that repeat an id with another text are judged by their text; of rows repeated
+    with the same id and text one stays, if it names the class.
     """
-    judged = shared_checkpoint(join(docs, id_col, text_col, similarity=similarity))
-    stays = judged.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("stay_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("stay_id"))
-    kept = packed.where(F.col("stay_id").isNotNull()).join(stays, "stay_id", "left_semi")
-    if _has_repeats(judged.select("doc_id")):
-        kept = kept.dropDuplicates(["stay_id"])
-    return kept.select("row.*").unionByName(packed.where(F.col("stay_id").isNull()).select("row.*"))
+    judged = _judged(docs, id_col, text_col, SHINGLE, similarity, MAX_BLOCKS, BLOCK_CLASSES)
+    key_id, head_id = F.xxhash64("doc_id", F.lit(11)), F.xxhash64("class.doc_id", F.lit(11))
+    judged = shared_checkpoint(judged.select(key_id.alias("key_id"), "key_text", ((key_id == head_id) & (F.col("key_text") == F.col("class.key_text"))).alias("stays")))
+    goes = shared_checkpoint(judged.where(~F.col("stays")).select("key_id", "key_text").distinct())
+    named = docs.select(*(F.col(c).alias(f"c_{i}") for i, c in enumerate(docs.columns)))
+    doc_id, text = (F.col(f"c_{docs.columns.index(c)}") for c in (id_col, text_col))
+    keyed = named.select("*", *row_key(doc_id, text.cast("string")))
+    with_text = keyed.where(text.isNotNull()).join(small_side(goes, BROADCAST_ROWS), ["key_id", "key_text"], "left_anti")
+    if _has_repeats(judged.where("stays").select("key_id", "key_text")):
+        with_text = with_text.dropDuplicates(["key_id", "key_text"])
+    kept = with_text.unionByName(keyed.where(text.isNull()))
+    return kept.select(*(F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -77,9 +77,99 @@ def test_rows(spark, odd_docs, no_docs):
 
 
 def test_prefix_is_shortened_to_the_recall():
-    depth = n.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** n.TREES >= n.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** n.TREES
+    floor = n.prefix_depth()
+    assert 1 - (1 - 0.8**floor) ** n.TREES >= n.TARGET_RECALL > 1 - (1 - 0.8 ** (floor + 1)) ** n.TREES
     assert n.prefix_depth(target=0.0) == n.MAX_DEPTH
+    assert n.shortened_depth({}, 5) == n.shortened_depth({8: 1000, 7: 1}, 5) == 8
+    assert n.shortened_depth({8: 900, 7: 100}, 5) == 7 and n.shortened_depth({8: 900, 6: 60, 5: 40}, 5) == 5
+
+
+def test_tries_match_like_all_prefixes(spark):
+    """Neighbours in the sorted tries connect exactly the classes that share a prefix, at each depth, over many partitions."""
+    rng = np.random.default_rng(2)
+    floor, forest = 5, n.Forest(5)
+    sets = []
+    for _ in range(25):
+        base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[: 40 - k], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for k in rng.integers(0, 12, 5)]
+    signs = [forest.sign(x) for x in sets]
+    rows = [(t, int(p[t]), int(tail[t]), i) for i, (p, tail) in enumerate(signs) for t in range(n.TREES)]
+    places = spark.createDataFrame(rows, "tree int, prefix long, tail long, node long")
+    found = {(r.u, r.v): r.depth for r in n.trie_matches(places, floor).collect()}
+    bits = n.print_bits(floor)
+
+    def depth(a, b, t):
+        if signs[a][0][t] != signs[b][0][t]:
+            return 0
+        return floor + sum(signs[a][1][t] >> bits * k == signs[b][1][t] >> bits * k for k in range(n.MAX_DEPTH - floor))
+
+    for least in range(floor, n.MAX_DEPTH + 1):
+        wanted, got = (components(len(sets), pairs) for pairs in (
+            [(a, b) for a in range(len(sets)) for b in range(a) if max(depth(a, b, t) for t in range(n.TREES)) >= least], [e for e, d in found.items() if d >= least]))
+        assert wanted == got
+
+
+def components(count, pairs):
+    root = list(range(count))
+    for _ in range(count):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def near_copies(count, seed):
+    """Copies of one text with edits, so that many pairs lie about the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(count):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(200)] = f"e{i}x{rng.randrange(99)}"
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_recall_in_a_component_of_any_size(spark):
+    """The same links however a component is cut, and at least 0.99 of those that brute force finds."""
+    docs = near_copies(150, 1)
+    sets = list({grams(t) for _, t in docs})
+    links = sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    results = []
+    for options in ({}, {"block_classes": 8}, {"block_classes": 8, "max_blocks": 2}):
+        results.append(sorted(map(tuple, n.join(df, **options).collect())))
+        found = sum(r[4] for r in results[-1] if r[0] == r[2])
+        assert 0.99 * links <= found <= links
+    assert results[0] == results[1] == results[2]
+
+
+def test_a_pair_right_at_the_threshold(spark):
+    """Eight shingles of ten are linked."""
+    words = [f"w{i}" for i in range(13)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"]))]
+    a, b = (grams(t) for _, t in docs)
+    assert len(a & b) == 8 and len(a | b) == 10
+    assert [r.n_links for r in n.join(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_ids_of_any_kind(spark, kind):
+    docs = [(-3 - i if kind == "bigint" else f"id{i:03d}", t) for i, t in corpus()]
+    df = spark.createDataFrame([(i, t) for i, t in docs] + [(None, docs[0][1]), (None, "no other has this")], f"doc_id {kind}, text string")
+    rows = n.join(df).collect()
+    wanted = brute(docs)
+    for r in rows:
+        if r.doc_id is not None:
+            assert (r.class_id, r.copy_id, r.n_links) == (wanted[r.doc_id][0], wanted[r.doc_id][1], wanted[r.doc_id][3])
+    assert sorted(str(r.class_id) for r in rows if r.doc_id is None) == sorted([str(wanted[docs[0][0]][0]), "None"])
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, "something else that is not like it at all"), (2, long + " end"), (2, "a third text of its own with some words"), (3, None), (3, None)]
+    kept = [tuple(r) for r in n.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[:2], *rows[3:]], key=str)
 
 
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
