@@ -169,10 +169,10 @@ def edit_distance(spark, sf_dir):
     return a.join(b, "n_regionkey").select("a", "b", byte_levenshtein(F.col("a"), F.col("b")).cast("bigint").alias("distance"))
 
 
-@query("number_codes", "SELECT o_orderkey, o_custkey - 700 AS n, o_custkey - 700 AS decoded FROM orders")
+@query("number_codes", "SELECT o_orderkey, upper(lpad(to_hex(((o_custkey - 700)::hugeint + 9223372036854775808)::ubigint), 16, '0')) AS code, o_custkey - 700 AS decoded FROM orders")
 def number_codes(spark, sf_dir):
-    n = F.col("o_custkey") - 700
-    return _table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), decode_int64(encode_int64(n)).alias("decoded"))
+    code = encode_int64(F.col("o_custkey") - 700)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), decode_int64(code).alias("decoded"))
 
 
 # -- index tables ------------------------------------------------------------
@@ -377,10 +377,10 @@ def sort_asc(spark, sf_dir):
     return _placed(_parts(spark, sf_dir).search(Builder().range("p_size", gte=10).build(), 20, sort_by("p_retailprice")).hits, "p_partkey", "p_brand")
 
 
-@query("sort_desc_missing_last", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice >= 1000 ORDER BY nullif(o_orderpriority, '5-LOW') DESC NULLS LAST, o_orderkey LIMIT 3000")
+@query("sort_desc_missing_last", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice >= 1000 ORDER BY CASE WHEN o_orderkey % 100 = 0 THEN o_orderpriority END DESC NULLS LAST, o_orderkey LIMIT 3000")
 def sort_desc_missing_last(spark, sf_dir):
     mapping = {"o_totalprice": FieldMapping("float"), "o_orderpriority": FieldMapping("keyword"), "key": FieldMapping("keyword")}
-    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("key"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderkey") % 100 == 0, F.col("o_orderpriority")).alias("key"))
     engine = SearchEngine(spark, EngineConfig(mapping=mapping)).index(rows, "o_orderkey", check_ids=False)
     return _placed(engine.search(Builder().range("o_totalprice", gte=1000).build(), 3000, sort_by("key", "desc")).hits, "o_orderkey", "o_orderpriority")
 
@@ -593,9 +593,15 @@ def inferred_type_sets(spark, sf_dir):
     return inferred_types(_event_values(spark, sf_dir), ["a", "c"]).withColumn("types", F.array_join("types", ","))
 
 
-@query("schema_table", "SELECT * FROM (VALUES ('lang', 'keyword', true, true), ('n_chars', 'integer', true, true), ('source', 'keyword', true, true), ('text', 'text', true, true)) t(field, type, index, store)")
+def _column_type_sql(c: str) -> str:
+    return f"SELECT '{c}' AS field, CASE WHEN count(DISTINCT {_type_sql(c)}) > 1 THEN 'text' ELSE min({_type_sql(c)}) END AS type, true AS index, true AS store FROM documents"
+
+
+@query("schema_table", " UNION ALL ".join(map(_column_type_sql, ("lang", "source", "text"))) + " UNION ALL SELECT column_name, CASE column_type WHEN 'BIGINT' THEN 'integer' ELSE '' END, true, true FROM (DESCRIBE documents) WHERE column_name = 'n_chars'")
 def schema_table(spark, sf_dir):
-    return _docs(spark, sf_dir).schema.table(spark).select("field", "type", "index", "store")
+    """The mapping that an engine infers from the values."""
+    engine = SearchEngine(spark).index(_table(spark, sf_dir, "documents"), check_ids=False)
+    return engine.schema.table(spark).select("field", "type", "index", "store")
 
 
 @query("stored_projection", f"WITH {_DOC_TOKENS} SELECT doc_id, lang AS stored FROM tok JOIN documents USING (doc_id) WHERE {_has('this')}")
@@ -641,10 +647,11 @@ def delta_recover(spark, sf_dir):
     return documents.delete(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("json_codec", "SELECT doc_id, lang, source FROM documents")
+@query("json_codec", """SELECT doc_id, '{"id":"' || doc_id || '","fields":{"lang":{"value":"' || lang || '","boost":1.0},"source":{"value":"' || source || '","boost":2.5}}}' AS json, lang, source, 2.5::double AS boost FROM documents""")
 def json_codec(spark, sf_dir):
-    coded = documents.to_json(_table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"])
-    return documents.from_json(coded, "json", ["lang", "source"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source")
+    coded = documents.to_json(_table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"], boosts={"source": 2.5})
+    back = documents.from_json(coded, "json", ["lang", "source"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source", F.col("boost_source").alias("boost"))
+    return coded.join(back, "doc_id")
 
 
 @query("reindex_analyzer", f"WITH tok AS (SELECT doc_id, {_words('text')} AS t FROM documents) SELECT doc_id FROM tok WHERE {_has('The')}")

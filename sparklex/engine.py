@@ -305,11 +305,19 @@ class SearchEngine:
                 if not self._closed.is_set() and self.rows is not None and self._changes != self._saved_changes:
                     self.snapshot()
 
-    def close(self) -> None:
-        """Ends the periodic snapshots, takes a last one if a path is configured, and frees what is cached."""
+    def is_saved(self) -> bool:
+        """Does the last snapshot hold all changes?"""
+        return self._changes == self._saved_changes
+
+    def stop_snapshots(self) -> None:
+        """End the periodic snapshots; one that is being taken is finished."""
         self._closed.set()
         if self._timer is not None:
             self._timer.join()
+
+    def close(self) -> None:
+        """Ends the periodic snapshots, takes a last one if a path is configured, and frees what is cached."""
+        self.stop_snapshots()
         if self.config.snapshot_path and self.rows is not None:
             self.snapshot()
         if self.corpus is not None:

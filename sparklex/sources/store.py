@@ -122,7 +122,7 @@ class ParquetStore(MemoryStore):
         return name
 
     def _log(self) -> DataFrame:
-        done = [b for b in self._batches() if _done(self.spark, f"{self.path}/{b}")]
+        done = [b for b in self._batches() if finished(self.spark, f"{self.path}/{b}")]
         return self.spark.read.schema(self.LOG_SCHEMA).parquet(*(f"{self.path}/{b}" for b in done)) if done else self.spark.createDataFrame([], self.LOG_SCHEMA)
 
     def put(self, rows: DataFrame) -> None:
@@ -144,7 +144,7 @@ class ParquetStore(MemoryStore):
             remove(self.spark, f"{self.path}/{name}")
 
 
-def _done(spark: SparkSession, path: str) -> bool:
-    """Was the batch written to its end?"""
+def finished(spark: SparkSession, path: str) -> bool:
+    """Was a folder written to its end?"""
     fs, where = _fs(spark, f"{path}/_SUCCESS")
     return fs.exists(where)

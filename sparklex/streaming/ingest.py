@@ -6,55 +6,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import _fs, remove, subfolders
+from ..sources.store import finished, remove, subfolders
+
+#: Batches that may stack up before they are folded into one.
+COMPACT_EVERY = 16
+#: How far behind the newest sequence number a late entry may come and still not bring a deleted document back.
+TOMBSTONE_SPAN = 1 << 20
 
 
 class DocumentTable:
-    """Versions of a table under a path; the last complete one is current."""
+    """A log of batches ``op, seq, <key>, <columns>`` under a path: a base, and what came after it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A batch is only ever appended.  Compaction folds the base and all batches into
+    a new base, named by the last batch in it, and then removes what that holds.
+    """
 
-    def _versions(self) -> list[str]:
-        def done(name: str) -> bool:
-            fs, where = _fs(self.spark, f"{self.path}/{name}/_SUCCESS")
-            return fs.exists(where)
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", tombstone_span: int = TOMBSTONE_SPAN):
+        self.spark, self.path, self.key, self.tombstone_span = spark, path, key, tombstone_span
 
-        return [v for v in subfolders(self.spark, self.path) if v.startswith("v") and done(v)]
+    def _numbers(self, kind: str) -> list[int]:
+        names = [n for n in subfolders(self.spark, self.path) if n.startswith(f"{kind}-") and finished(self.spark, f"{self.path}/{n}")]
+        return sorted(int(n.rpartition("-")[2]) for n in names)
 
-    def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{versions[-1]}") if versions else None
+    def _folder(self, kind: str, number: int) -> str:
+        return f"{self.path}/{kind}-{number:012d}"
 
-    def replace(self, df: DataFrame, number: int, keep: int = 2) -> None:
-        """Write a version under a number; a batch that is tried again writes the same one."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v{number:012d}")
-        for old in self._versions()[:-keep]:
-            remove(self.spark, f"{self.path}/{old}")
+    def _parts(self) -> tuple[int, list[int]]:
+        """The base's number, -1 without one, and those of the batches after it."""
+        base = max(self._numbers("base"), default=-1)
+        return base, [n for n in self._numbers("batch") if n > base]
 
-
-def apply_batch(table: DocumentTable, batch: DataFrame, number: int, key: str = "doc_id") -> None:
-    """Fold a batch of ``op, seq, <columns>`` into the table: the last entry of each key wins, deletes remove it.
+    def read(self) -> DataFrame | None:
+        """The last entry of each key, deletes included; None before the first batch."""
+        base, batches = self._parts()
+        paths = ([self._folder("base", base)] if base >= 0 else []) + [self._folder("batch", n) for n in batches]
+        if not paths:
+            return None
+        rows = self.spark.read.option("mergeSchema", True).parquet(*paths)
+        return rows if not batches else latest_entries(rows, self.key)
+
+    def append(self, batch: DataFrame, number: int) -> None:
+        """Write a batch under its number; one that is tried again is written over."""
+        if number > self._parts()[0]:
+            latest_entries(batch, self.key).write.mode("overwrite").parquet(self._folder("batch", number))
+
+    def depth(self) -> int:
+        """Batches that a read folds."""
+        return len(self._parts()[1])
+
+    def compact(self) -> None:
+        """Fold all batches into the base, without deletes that lie ``tombstone_span`` behind the newest entry."""
+        base, batches = self._parts()
+        if not batches:
+            return
+        rows = self.read()
+        newest = rows.agg(F.max("seq")).first()[0]
+        rows.where((F.col("op") != "delete") | (F.col("seq") > newest - self.tombstone_span)).write.mode("overwrite").parquet(self._folder("base", batches[-1]))
+        for old in [self._folder("base", base)] * (base >= 0) + [self._folder("batch", n) for n in batches]:
+            remove(self.spark, old)
+
+
+def latest_entries(rows: DataFrame, key: str) -> DataFrame:
+    """The entry of the largest ``seq`` of each key."""
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
+
+
+def apply_batch(table: DocumentTable, batch: DataFrame, number: int, compact_every: int = COMPACT_EVERY) -> None:
+    """Append a batch of ``op, seq, <columns>``: the last entry of each key wins, deletes remove it.
 
     The sequence number stays in the table, so late entries do not undo newer ones.
+    What a batch costs depends on its own rows; every ``compact_every`` batches the table is folded.
     """
-    current = table.read()
-    done = [v for v in table._versions() if int(v[1:]) < number]
-    if current is not None and table._versions()[-1] == f"v{number:012d}":
-        current = table.spark.read.parquet(f"{table.path}/{done[-1]}") if done else None
-    rows = batch if current is None else current.unionByName(batch, allowMissingColumns=True)
-    last = rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
-    table.replace(last, number)
+    table.append(batch, number)
+    if compact_every and table.depth() >= compact_every:
+        table.compact()
 
 
-def ingest(op_log: DataFrame, path: str, checkpoint: str, key: str = "doc_id", interval: str | None = None) -> StreamingQuery:
+def ingest(op_log: DataFrame, path: str, checkpoint: str, key: str = "doc_id", interval: str | None = None, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Start folding a stream of ``op, seq, <key>, <columns>`` into the table at ``path``.
 
     ``interval`` is how often a batch is taken; without it all that is there is
     taken and the query ends.
     """
-    table = DocumentTable(op_log.sparkSession, path)
-    writer = op_log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: apply_batch(table, batch, number, key))
+    table = DocumentTable(op_log.sparkSession, path, key)
+    writer = op_log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: apply_batch(table, batch, number, compact_every))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pytest
@@ -14,6 +15,7 @@ from sparklex.operators.search import Cursor, SearchOptions, Sort, sort_by
 from sparklex.plans.mapping import FieldMapping
 from sparklex.plans.query import Builder, Query
 from sparklex.sources.documents import search_field
+from sparklex.sources.store import ParquetStore
 
 TEXT = {"body": FieldMapping("text"), "title": FieldMapping("text")}
 
@@ -260,3 +262,86 @@ def test_plans(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
     assert "GreaterThanOrEqual(price,10.0)" in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_postings_shuffle_nothing(spark):
+    engine = bodies(spark, "b a b", "a", "", None)
+    postings = engine.postings()
+    assert "Exchange" not in plan_of(postings)
+    rows = sorted(postings.select("term", "doc_id", "freq", "positions", "length").collect())
+    assert list(map(tuple, rows)) == [("a", "1", 1, [1], 3), ("a", "2", 1, [0], 1), ("b", "1", 2, [0, 2], 3)]
+
+
+def test_a_stored_index_is_all_that_is_read(spark, tmp_path):
+    """Clauses, expansions, hybrid search and facets after load() give the same and read no text."""
+    mapping = TEXT | {"category": FieldMapping("keyword"), "v": FieldMapping("vector")}
+    rows = [(str(i), f"go golang word{i % 3} " + "of " * i, "abc"[i % 3], [1.0, float(i)]) for i in range(12)]
+    engine = engine_of(spark, rows, "doc_id string, body string, category string, v array<double>", mapping=mapping)
+    engine.save(str(tmp_path / "i"))
+    loaded = SearchEngine.load(spark, str(tmp_path / "i"))
+    q = Builder().must("body", "word1").build()
+    asked = (
+        lambda e: e.fuzzy_search("body", "golan", 1),
+        lambda e: e.wildcard_search("body", "wor?0"),
+        lambda e: e.prefix_search("body", "word"),
+        lambda e: e.hybrid_search(q, "v", [1.0, 2.0], 0.5),
+        lambda e: e.aggregate(q, "category"),
+        lambda e: e.metrics(q, "category"),
+    )
+    for ask in asked:
+        assert [tuple(r) for r in ask(loaded).collect()] == [tuple(r) for r in ask(engine).collect()]
+        scans = [line for line in plan_of(ask(loaded)).splitlines() if "ReadSchema" in line and "/rows" in line]
+        assert not any("body" in line for line in scans), scans
+
+
+def test_statistics_are_gathered_once_and_only_for_scores(spark, monkeypatch):
+    engine = priced(spark, "1", "2")
+    passes = []
+    original = type(engine.corpus).agg
+    monkeypatch.setattr(type(engine.corpus), "agg", lambda self, *a: (passes.append(1), original(self, *a))[1])
+    engine.search(Builder().phrase("body", "item").build())
+    engine.aggregate(Builder().must("body", "item").build(), "price")
+    assert not passes
+    for _ in range(3):
+        engine.search(Builder().must("body", "item").build())
+    assert len(passes) == 1
+    engine.index(spark.createDataFrame([("3", "item", "3")], "doc_id string, body string, price string"))
+    engine.search(Builder().must("body", "item").build())
+    assert len(passes) == 2
+
+
+def test_ids_repeated_in_one_call_count_once(spark):
+    rows = [("1", "go", 1), ("1", "rust", 2), ("2", "go", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, body string, at int")
+    engine = SearchEngine(spark, EngineConfig(mapping=TEXT)).index(df, latest_by="at")
+    assert engine.size() == 2 and ids(engine.search(Builder().must("body", "go").build()).hits) == ["2"]
+    assert SearchEngine(spark, EngineConfig(mapping=TEXT)).index(df).size() == 2
+    assert sorted(map(str, SearchEngine(spark, EngineConfig(mapping=TEXT)).index(df).rows.collect())) == sorted(map(str, SearchEngine(spark, EngineConfig(mapping=TEXT)).index(df.repartition(3)).rows.collect()))
+
+
+def test_snapshots_by_interval(spark, tmp_path):
+    config = EngineConfig(mapping=TEXT, snapshot_path=str(tmp_path / "s"), snapshot_seconds=0.05)
+    engine = SearchEngine(spark, config).index(spark.createDataFrame([("1", "go")], "doc_id string, body string"))
+    for _ in range(200):
+        if engine.is_saved():
+            break
+        time.sleep(0.1)
+    assert SearchEngine.load(spark, str(tmp_path / "s")).size() == 1
+    engine.index(spark.createDataFrame([("2", "rust")], "doc_id string, body string"))
+    engine.close()
+    assert SearchEngine.load(spark, str(tmp_path / "s")).size() == 2
+
+
+def test_documents_of_the_store_are_recovered(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "d"))
+    config = EngineConfig(mapping=TEXT, snapshot_path=str(tmp_path / "s"), store=store)
+    engine = SearchEngine(spark, config).index(spark.createDataFrame([("1", "go")], "doc_id string, body string"))
+    engine.snapshot()
+    engine.index(spark.createDataFrame([("2", "rust"), ("3", "zig")], "doc_id string, body string"))
+    engine.delete("3")
+    again = SearchEngine(spark, config)
+    assert again.size() == 2 and ids(again.search(Builder().must("body", "rust").build()).hits) == ["2"]

@@ -7,12 +7,16 @@ import os
 import duckdb
 import pytest
 
-from sparklex import catalog
+from sparklex import catalog, catalog_storage  # noqa: F401  (adds its queries)
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries compared here; the driver compares all.
-SAMPLE = ("bm25_bool", "phrase2", "text_range", "regex_raw", "page_after", "agg_terms", "metrics", "fuzzy_1", "hybrid_05", "infer_types", "wal_fold")
+SAMPLE = (
+    "bm25_bool", "phrase2", "text_range", "regex_raw", "page_after", "agg_terms", "metrics", "fuzzy_1", "hybrid_05", "infer_types", "wal_fold",
+    "postings_freq", "stored_index_fuzzy", "stored_index_agg", "phrase_control_chars", "upsert_repeated_ids", "regex_escapes", "number_codes", "float_codes", "schema_table", "json_codec",
+    "struct_records", "store_contract", "store_compaction", "log_replay_broken_line", "snapshot_and_log", "delta_recover_engine", "periodic_snapshot", "streaming_ingest", "flush_and_compact",
+)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the standard tables are not here")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparklex.sources.change_log import ChangeLog, entries_of, fold, wide
 from sparklex.sources.documents import from_json, latest, to_json, upsert
 from sparklex.sources.store import MemoryStore, ParquetStore
-from sparklex.streaming.ingest import DocumentTable, ingest, live
+from sparklex.streaming.ingest import DocumentTable, apply_batch, ingest, live
 
 
 def pairs(spark, *rows):
@@ -89,3 +89,28 @@ def test_streaming_ingest(spark, tmp_path):
     assert [(r.doc_id, r.body) for r in rows] == [("a", "new")]
     feed(("index", 5, "c", "three"))
     assert live(DocumentTable(spark, str(tmp_path / "table")).read()).select(F.count(F.lit(1))).first()[0] == 2
+
+
+def test_batches_are_appended_and_folded(spark, tmp_path):
+    """A batch writes its own rows alone; folding keeps the newest entries and forgets old deletes."""
+    schema = "op string, seq bigint, doc_id string, body string"
+    table = DocumentTable(spark, str(tmp_path / "t"), tombstone_span=10)
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    apply_batch(table, batch(("index", 1, "a", "one"), ("index", 2, "a", "two"), ("delete", 3, "b", None)), 0)
+    apply_batch(table, batch(("index", 40, "c", "far")), 1)
+    assert table.depth() == 2 and spark.read.parquet(str(tmp_path / "t/batch-000000000000")).count() == 2
+    table.compact()
+    assert table.depth() == 0 and {r.doc_id: r.op for r in table.read().collect()} == {"a": "index", "c": "index"}
+    apply_batch(table, batch(("index", 1, "a", "again")), 1)  # tried again after it was folded
+    assert table.depth() == 0
+    apply_batch(table, batch(("index", 0, "a", "late"), ("delete", 41, "c", None)), 2, compact_every=1)
+    assert [(r.doc_id, r.body) for r in live(table.read()).collect()] == [("a", "two")]
+
+
+def test_memory_store_cuts_its_lineage(spark, monkeypatch):
+    monkeypatch.setattr(MemoryStore, "CUT_EVERY", 3)
+    store = MemoryStore(spark)
+    for i in range(7):
+        store.put(pairs(spark, (f"k{i % 4}", str(i))))
+    assert sorted(map(tuple, store.each().collect())) == [("k0", "4"), ("k1", "5"), ("k2", "6"), ("k3", "3")]
+    assert store.each()._jdf.queryExecution().logical().toString().count("Join") <= 2
