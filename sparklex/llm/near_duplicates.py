@@ -206,27 +206,22 @@ def _signatures(rows: DataFrame, size: int, floor: int) -> DataFrame:
 
 
 def trie_matches(places: DataFrame, floor: int, deepest: int = MAX_DEPTH) -> DataFrame:
-    """``u, v, depth``: leaves next to each other in some sorted trie, and the longest prefix they share, ``floor`` at least.
+    """``u, v, depth``: matches of leaves of the sorted tries, by the longest prefix a leaf shares with the one before it.
 
-    ``places`` has ``tree, prefix, tail, node``.  Classes that share a prefix of any depth are a run of leaves, so
-    matches of that depth connect them.  The last leaf of each task and the first of the next one are matched apart.
+    ``places`` has ``tree, prefix, tail, node``.  Classes that share a prefix are a run of leaves.  A leaf is matched
+    with the first one of the run that its longest prefix makes, so the matches of at least some depth connect exactly
+    the runs of that depth, in few steps.  Only prefixes of ``floor`` hashes or more count.  Runs that go over the end of
+    a task are joined by the first and last leaves of the tasks.
     """
-    order, bits = ["tree", "prefix", "tail", "node"], print_bits(floor, deepest)
+    order, bits, levels = ["tree", "prefix", "tail", "node"], print_bits(floor, deepest), deepest - floor
     schema = StructType([StructField("depth", IntegerType())] + [StructField(n, LongType()) for n in ("u", "v", "part", "tree", "prefix", "tail")])
 
-    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Depth to which tails agree, beside equal prefixes."""
-        out = np.full(len(a), floor)
-        for level in range(deepest - floor):
-            out += (a >> (bits * (deepest - floor - 1 - level))) == (b >> (bits * (deepest - floor - 1 - level)))
-        return out
-
     def run(batches):
         part = TaskContext.get().partitionId()
-        last = None
+        last, starts = None, None  # the leaf before, and the first leaf of its run at each depth
 
-        def edge(kind: int, row: np.ndarray) -> pa.RecordBatch:
-            values = [[kind], [int(row[3])], [int(row[3])], [part], [int(row[0])], [int(row[1])], [int(row[2])]]
+        def end(kind: int) -> pa.RecordBatch:
+            values = [[kind], [int(last[3])], [int(last[3])], [part], [int(last[0])], [int(last[1])], [int(last[2])]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32()] + [pa.int64()] * 6)], names=schema.names)
 
         for batch in batches:
@@ -234,29 +229,40 @@ def trie_matches(places: DataFrame, floor: int, deepest: int = MAX_DEPTH) -> Dat
                 continue
             rows = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(4)])
             if last is None:
-                yield edge(0, rows[:, 0])
-            else:
-                rows = np.concatenate([last[:, None], rows], 1)
-            last = rows[:, -1]
-            near = np.flatnonzero((rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1]))
-            depth = shared(rows[2, near], rows[2, near + 1])
-            zeros = np.zeros(len(near), np.int64)
-            columns = [pa.array(depth, pa.int32()), pa.array(rows[3, near]), pa.array(rows[3, near + 1]), *[pa.array(zeros)] * 4]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                last, starts = rows[:, 0], np.full(levels + 1, rows[3, 0])
+                yield end(0)
+                rows = rows[:, 1:]
+            leaves = np.concatenate([last[:, None], rows], 1)
+            same = (leaves[0, 1:] == leaves[0, :-1]) & (leaves[1, 1:] == leaves[1, :-1])
+            depth = np.where(same, floor, 0)
+            for level in range(levels):
+                by = bits * (levels - 1 - level)
+                depth += same & ((leaves[2, 1:] >> by) == (leaves[2, :-1] >> by))
+            first = np.zeros((levels + 1, rows.shape[1]), np.int64)
+            for level in range(levels + 1):
+                begun = np.maximum.accumulate(np.where(depth < floor + level, np.arange(len(depth)), -1)) if len(depth) else depth
+                first[level] = np.where(begun >= 0, rows[3][np.maximum(begun, 0)], starts[level]) if len(depth) else 0
+            if len(depth):
+                last, starts = rows[:, -1], first[:, -1]
+            near = np.flatnonzero(depth)
+            zeros = pa.array(np.zeros(len(near), np.int64))
+            columns = [pa.array(depth[near], pa.int32()), pa.array(first[depth[near] - floor, near]), pa.array(rows[3, near])]
+            yield pa.RecordBatch.from_arrays([*columns, *[zeros] * 4], names=schema.names)
         if last is not None:
-            yield edge(-1, last)
+            yield end(-1)
 
     found = shared_checkpoint(places.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
-    # Two rows for each task.
-    ends = found.where(F.col("depth") <= 0).withColumns(
-        {f"next_{c}": F.lead(c).over(Window.orderBy("part", F.desc("depth"))) for c in ("part", "tree", "prefix", "tail", "u")}
-    )
-    ends = ends.where((F.col("depth") == -1) & (F.col("next_part") != F.col("part")) & (F.col("tree") == F.col("next_tree")) & (F.col("prefix") == F.col("next_prefix")))
+    ends = found.where(F.col("depth") <= 0)  # two rows for each task
+    following = Window.orderBy("part", F.desc("depth"))
+    over = ends.withColumns({f"next_{c}": F.lead(c).over(following) for c in ("part", "tree", "prefix", "tail", "u")})
+    over = over.where((F.col("depth") == -1) & (F.col("next_part") != F.col("part")) & (F.col("tree") == F.col("next_tree")) & (F.col("prefix") == F.col("next_prefix")))
     depth = F.lit(floor)
-    for level in range(deepest - floor):
-        by = bits * (deepest - floor - 1 - level)
+    for level in range(levels):
+        by = bits * (levels - 1 - level)
         depth = depth + F.when(F.shiftright("tail", by) == F.shiftright("next_tail", by), 1).otherwise(0)
-    matched = found.where(F.col("depth") > 0).select("u", "v", "depth").unionByName(ends.select("u", F.col("next_u").alias("v"), depth.alias("depth")))
+    spanning = ends.select("u", F.first("u").over(Window.partitionBy("tree", "prefix").orderBy("part", F.desc("depth"))).alias("v"), F.lit(floor).alias("depth"))
+    matched = found.where(F.col("depth") > 0).select("u", "v", "depth").unionByName(over.select("u", F.col("next_u").alias("v"), depth.alias("depth"))).unionByName(spanning)
+    matched = matched.where(F.col("u") != F.col("v"))
     return matched.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("depth").alias("depth"))
 
 
