@@ -7,18 +7,29 @@ piece probabilities are fitted by expectation maximisation: the forward-backward
 algorithm gives the expected count of each piece in the training words of each
 language, which are summed across the cluster, smoothed and normalised.
 
-Training reads a bounded sample: ``max_train_docs`` rows, taken by a hash of
-their id.  What is collected is one number for each piece and language, so its
-size is set by the vocabulary.
+Training reads a bounded sample: about ``max_train_docs`` rows, the same number
+for each language as far as it has them, taken by a hash of their id and text and
+stored once for all rounds.  What is collected is one number for each piece and language,
+so its size is set by the vocabulary and ``MAX_LANGUAGES``.
+
+A word of any length is one lattice: no segmentation is left out.  Sums are scaled
+up as they get small, so long words, such as whole texts in scripts without
+blanks, lose nothing.  Very long words are summed in a moving window, in memory
+that does not grow with them.  (In training alone, words of more than
+``TRAIN_BYTES`` are cut.)
 
 Defined cases: null or letterless texts are ``und`` with score 0, and so is
 every text if nothing was learnt; of equally likely languages the first by name
-wins; a text of any length is scored whole, word by word; repeated rows each
-give a row.
+wins; if there are more than ``MAX_LANGUAGES``, those with most rows are learnt,
+of equally common ones the first by name; a text of any length is scored whole;
+repeated rows each give a row; rows without an id are learnt from; other
+columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from .bpe import read_ranks
-from .common import map_slices
+from .common import map_slices, shared_checkpoint
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 UNDETERMINED = "und"
@@ -37,9 +48,16 @@ EM_ROUNDS = 2
 SMOOTHING = 0.05
 #: Words a task remembers the scores of before it forgets them all.
 CACHE_WORDS = 400_000
-#: Letters of a word scored together, and words scored in one step.
-SLICE = 24
+MAX_LANGUAGES = 128
+#: Words scored in one step, and cells of their table of sums.
 WORDS_AT_ONCE = 8192
+CELLS_AT_ONCE = 1 << 18
+#: Words up to this many bytes need no scaling: no piece is less likely than about 2^-34.
+PLAIN_BYTES = 28
+#: Longer words than this are summed in a moving window.
+TABLE_BYTES = 2048
+TRAIN_BYTES = 512
+_TINY, _LIFT = 2.0**-400, 2.0**400
 
 _WORD = regex.compile(r"\p{L}+")
 
@@ -62,27 +80,33 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values(), default=-1) + 1
+        self.longest = max(map(len, ranks), default=1)
         self.beginnings = {piece[:n]: -1 for piece in ranks for n in range(1, len(piece))}
         self.beginnings.update(ranks)
 
+    def from_start(self, raw: bytes, start: int) -> list[tuple[int, int]]:
+        """(end, piece) of all pieces that begin at a place."""
+        out = []
+        for end in range(start + 1, len(raw) + 1):
+            piece = self.beginnings.get(raw[start:end])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((end, piece))
+        return out
+
 
 class Lattice:
     """All segmentations of many words into pieces, as edges grouped by where they end and how long they are.
 
     Within a group every word has at most one edge, so a group is one step for
-    all words together.  Words longer than ``SLICE`` letters are cut into slices
-    of that length, which keeps the products within range.
+    all words together.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+    def __init__(self, vocabulary: Vocabulary, raws: list[bytes]):
         get = vocabulary.beginnings.get
-        slices, self.owner = [], []
-        for at, word in enumerate(words):
-            for start in range(0, len(word), SLICE):
-                slices.append(b" " + word[start : start + SLICE].encode())
-                self.owner.append(at)
         edges: list[int] = []
-        for row, raw in enumerate(slices):
+        for row, raw in enumerate(raws):
             n = len(raw)
             for start in range(n):
                 for end in range(start + 1, n + 1):
@@ -91,9 +115,9 @@ class Lattice:
                         break
                     if piece >= 0:
                         edges += (row, start, end, piece)
-        self.words = len(words)
-        self.rows = len(slices)
-        self.ends = np.fromiter(map(len, slices), np.int64, len(slices))
+        self.rows = len(raws)
+        self.longest = vocabulary.longest
+        self.ends = np.fromiter(map(len, raws), np.int64, len(raws))
         row, start, end, piece = np.array(edges, np.int64).reshape(-1, 4).T
         order = np.lexsort((row, end - start, end))
         self.row, self.start, self.end, self.piece = row[order], start[order], end[order], piece[order]
@@ -115,21 +139,122 @@ class Lattice:
 
     def log_likelihood(self, probability: np.ndarray) -> np.ndarray:
         """Log probability of each word (rows) in each language: the sum over its segmentations."""
-        whole = self._sums(probability[self.piece], True)[np.arange(self.rows), self.ends]
-        out = np.zeros((self.words, probability.shape[1]))
-        np.add.at(out, self.owner, np.log(np.maximum(whole, 1e-300)))
-        return out
+        width = int(self.ends.max(initial=0)) + 1
+        sums = np.zeros((self.rows, width, probability.shape[1]))
+        sums[:, 0] = 1.0
+        lifted = np.zeros((self.rows, probability.shape[1]))
+        scaled, done = width - 1 > PLAIN_BYTES, 0
+        for a, b in self.groups:
+            row, start, end = self.row[a:b], self.start[a], self.end[a]
+            if scaled and end != done:  # all sums up to ``done`` are complete
+                low = np.argwhere((sums[:, done] < _TINY) & (sums[:, done] > 0))
+                if len(low):
+                    window = slice(max(0, done - self.longest), done + 1)
+                    sums[low[:, 0], window, low[:, 1]] *= _LIFT
+                    lifted[low[:, 0], low[:, 1]] += 1
+                done = end
+            sums[row, end] += sums[row, start] * probability[self.piece[a:b]]
+        whole = sums[np.arange(self.rows), self.ends]
+        return np.log(np.maximum(whole, 1e-300)) - lifted * math.log(_LIFT)
 
     def expected_counts(self, probability: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Posterior counts of all pieces in one language, of words that occur ``times`` each."""
+        """Posterior counts of all pieces in one language, of words of at most ``PLAIN_BYTES`` that occur ``times`` each."""
         weights = probability[self.piece][:, None]
         alpha, beta = self._sums(weights, True)[:, :, 0], self._sums(weights, False)[:, :, 0]
         whole = alpha[np.arange(self.rows), self.ends]
-        share = np.where(whole > 0, times[self.owner] / np.maximum(whole, 1e-300), 0.0)
+        share = np.where(whole > 0, times / np.maximum(whole, 1e-300), 0.0)
         posterior = alpha[self.row, self.start] * weights[:, 0] * beta[self.row, self.end] * share[self.row]
         return np.bincount(self.piece, posterior, len(probability))
 
 
+def long_log_likelihood(vocabulary: Vocabulary, probability: np.ndarray, raw: bytes) -> np.ndarray:
+    """Log probability of one word in each language, by sums over a moving window of places."""
+    room = vocabulary.longest + 1
+    ring = np.zeros((room, probability.shape[1]))
+    ring[0] = 1.0
+    lifted = np.zeros(probability.shape[1])
+    get = vocabulary.beginnings.get
+    for start in range(len(raw)):
+        here = ring[start % room].copy()
+        ring[start % room] = 0.0
+        low = (here < _TINY) & (here > 0)
+        if low.any():
+            ring[:, low] *= _LIFT
+            here[low] *= _LIFT
+            lifted[low] += 1
+        for end in range(start + 1, min(len(raw), start + vocabulary.longest) + 1):
+            piece = get(raw[start:end])
+            if piece is None:
+                break
+            if piece >= 0:
+                ring[end % room] += here * probability[piece]
+    return np.log(np.maximum(ring[len(raw) % room], 1e-300)) - lifted * math.log(_LIFT)
+
+
+def long_expected_counts(vocabulary: Vocabulary, probability: np.ndarray, raw: bytes, times: float) -> dict[int, float]:
+    """Posterior counts of the pieces of one word in one language, in logarithms."""
+    n = len(raw)
+    edges = [(start, end, piece, math.log(probability[piece])) for start in range(n) for end, piece in vocabulary.from_start(raw, start) if probability[piece] > 0]
+    forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for start, end, _, w in edges:
+        forward[end] = _log_add(forward[end], forward[start] + w)
+    for start, end, _, w in reversed(edges):
+        backward[start] = _log_add(backward[start], w + backward[end])
+    out: dict[int, float] = {}
+    for start, end, piece, w in edges if forward[n] > -math.inf else ():
+        out[piece] = out.get(piece, 0.0) + times * math.exp(forward[start] + w + backward[end] - forward[n])
+    return out
+
+
+def _log_add(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def encoded(word: str) -> bytes:
+    """A word as the vocabulary sees it: after a blank."""
+    return b" " + word.encode("utf-8", "surrogatepass")
+
+
+def word_scores(vocabulary: Vocabulary, probability: np.ndarray, words: list[str]) -> np.ndarray:
+    """Log probability of each word in each language; words of like length go side by side."""
+    raws = [encoded(word) for word in words]
+    out = np.zeros((len(words), probability.shape[1]))
+    by_width: dict[int, list[int]] = {}
+    for i, raw in enumerate(raws):
+        by_width.setdefault(PLAIN_BYTES if len(raw) <= PLAIN_BYTES else 1 << (len(raw) - 1).bit_length(), []).append(i)
+    for width, members in by_width.items():
+        if width > TABLE_BYTES:
+            for i in members:
+                out[i] = long_log_likelihood(vocabulary, probability, raws[i])
+            continue
+        step = max(1, min(WORDS_AT_ONCE, CELLS_AT_ONCE // width))
+        for at in range(0, len(members), step):
+            part = members[at : at + step]
+            out[part] = Lattice(vocabulary, [raws[i] for i in part]).log_likelihood(probability)
+    return out
+
+
+def word_counts(vocabulary: Vocabulary, probability: np.ndarray, words: dict[str, int]) -> np.ndarray:
+    """Posterior counts of all pieces in one language, of words and how often they occur."""
+    out = np.zeros(len(probability))
+    times: dict[bytes, int] = {}
+    for word, count in words.items():
+        raw = encoded(word)
+        for at in range(0, len(raw), TRAIN_BYTES):
+            part = raw[at : at + TRAIN_BYTES]
+            times[part] = times.get(part, 0) + count
+    short = [raw for raw in times if len(raw) <= PLAIN_BYTES]
+    for at in range(0, len(short), WORDS_AT_ONCE):
+        part = short[at : at + WORDS_AT_ONCE]
+        out += Lattice(vocabulary, part).expected_counts(probability, np.array([times[raw] for raw in part], np.float64))
+    for raw, count in times.items():
+        if len(raw) > PLAIN_BYTES:
+            for piece, share in long_expected_counts(vocabulary, probability, raw, count).items():
+                out[piece] += share
+    return out
+
+
 def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str | None) -> dict[str, np.ndarray]:
     """Expected piece counts by language, summed over the sample."""
     schema = StructType([StructField("lang", StringType()), StructField("piece", IntegerType()), StructField("count", DoubleType())])
@@ -148,11 +273,7 @@ def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str
                 for word in words_of(text):
                     seen[word] = seen.get(word, 0) + 1
         for lang, seen in words.items():
-            counts = np.zeros(len(flat))
-            listed, times = list(seen), np.fromiter(seen.values(), np.float64, len(seen))
-            for start in range(0, len(listed), WORDS_AT_ONCE):
-                lattice = Lattice(vocabulary, listed[start : start + WORDS_AT_ONCE])
-                counts += lattice.expected_counts(flat if model is None else model[lang], times[start : start + WORDS_AT_ONCE])
+            counts = word_counts(vocabulary, flat if model is None else model[lang], seen)
             pieces = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(pieces), pa.string()), pa.array(pieces, pa.int32()), pa.array(counts[pieces], pa.float64())],
@@ -167,6 +288,24 @@ def _expected(sample: DataFrame, model: dict[str, np.ndarray] | None, path: str
     return out
 
 
+def training_sample(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS
+) -> DataFrame:
+    """``lang, text``: about ``max_train_docs`` rows, evenly from the languages; rare ones are taken whole."""
+    named = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    each, left = {}, max_train_docs
+    for done, r in enumerate(reversed(counts)):  # the rarest first; what they leave goes to the others
+        each[r.lang] = min(r.n, left // (len(counts) - done))
+        left -= each[r.lang]
+    share = F.lit(0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, round(each[r.lang] / r.n * 1_000_000)).otherwise(share)
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(77)), F.lit(1_000_000)) < share
+    return rows.where(draw).select("lang", "text")
+
+
 def fit(
     docs: DataFrame,
     learn: Column,
@@ -178,19 +317,12 @@ def fit(
     rounds: int = EM_ROUNDS,
 ) -> tuple[list[str], np.ndarray]:
     """Languages, and piece probabilities (piece by language), from the rows where ``learn`` holds."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.select(id_col).count()
-    share = min(1.0, max_train_docs / max(total, 1))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(77)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000))
-    sample = rows.where(draw).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sample = shared_checkpoint(training_sample(docs, learn, id_col, text_col, lang_col, max_train_docs))
+    used = np.zeros(max(_vocabulary(path).values()) + 1)
+    used[list(_vocabulary(path).values())] = SMOOTHING
     model = None
     for _ in range(rounds):
-        counts = _expected(sample, model, path)
-        used = set(_vocabulary(path).values())
-        model = {}
-        for lang, values in counts.items():
-            values = values + SMOOTHING * np.isin(np.arange(len(values)), list(used))
-            model[lang] = values / values.sum()
+        model = {lang: (values + used) / (values + used).sum() for lang, values in _expected(sample, model, path).items()}
     langs = sorted(model or {})
     return langs, np.stack([model[lang] for lang in langs], 1) if langs else np.zeros((0, 0))
 
@@ -215,10 +347,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
                 fresh = list({word: None for words in split for word in words})
             while len(rows) + len(fresh) > len(state["scores"]):
                 state["scores"] = np.concatenate([state["scores"], np.zeros_like(state["scores"])])
-            for start in range(0, len(fresh), WORDS_AT_ONCE):
-                part = fresh[start : start + WORDS_AT_ONCE]
-                state["scores"][len(rows) : len(rows) + len(part)] = Lattice(vocabulary, part).log_likelihood(table)
-                rows.update(zip(part, range(len(rows), len(rows) + len(part))))
+            if fresh:
+                state["scores"][len(rows) : len(rows) + len(fresh)] = word_scores(vocabulary, table, fresh)
+                rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
 
         def judge(words: list[str]) -> tuple[str, float]:
             if not words:
