@@ -18,8 +18,11 @@ listed; repeated items count once; repeated document rows each give a row; an
 empty benchmark contaminates nothing.  Only the id and text columns are read.
 
 The benchmark's side of both joins is broadcast if its whole text is at most
-``BROADCAST_BYTES``, which is checked; a larger one is joined by shuffles, with
-the document's words fetched again for the hits alone.
+``BROADCAST_BYTES``, which is checked.  A larger one is joined by shuffles of the
+documents' fingerprints; the words around them are fetched again for the hits
+alone, and documents without a hit are in none of these joins.  Items that share
+windows are listed once for each distinct list, under a number, and documents
+carry only the numbers until they are gathered.
 """
 
 from __future__ import annotations
@@ -76,8 +79,8 @@ def _text(array: Column, start: Column, length: int) -> Column:
     return F.concat_ws(" ", *(F.get(array, start + k) for k in range(length)))
 
 
-def benchmark_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (length, hash), and windows (window, items), of a benchmark."""
+def benchmark_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints (length, hash), windows (window, list_id), and lists of items (list_id, items), of a benchmark."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("words")).where(F.size("words") > 0)
     long_ = items.where(F.size("words") >= WINDOW).withColumn("grams", _grams("words")).withColumn("lows", _lows("grams"))
     short = items.where(F.size("words") < WINDOW)
@@ -87,7 +90,9 @@ def benchmark_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     windows = long_.select(
         "item_id", F.explode(F.transform(_range(F.size("words") - WINDOW + 1), lambda s: _text(F.col("words"), s, WINDOW))).alias("window")
     ).unionByName(short.select("item_id", F.array_join("words", " ").alias("window")))
-    return prints.distinct().withColumn("printed", F.lit(True)), windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    listed = windows.groupBy("window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    listed = listed.withColumn("list_id", F.xxhash64("items", F.size("items")))
+    return prints.distinct().withColumn("printed", F.lit(True)), listed.select("window", "list_id"), listed.groupBy("list_id").agg(F.first("items").alias("items"))
 
 
 def _seeds(short_lengths: list[int], with_words: bool) -> Column:
@@ -134,30 +139,9 @@ def scan(
         r[0] for r in benchmark.select(F.size(lengths).alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect()
     )
     small = size <= broadcast_bytes
-    prints, windows = benchmark_tables(benchmark, item_id_col, item_text_col)
-    if small:
-        prints, windows = F.broadcast(prints), F.broadcast(windows)
-
+    tables = benchmark_tables(benchmark, item_id_col, item_text_col)
     named = id_and_text(docs, id_col, text_col).select(*row_key("doc_id", "text"), "doc_id", words(F.col("text")).alias("words"))
-    read = named.withColumn("grams", _grams("words")).withColumn("lows", _lows("grams"))
-    key = ["key_id", "key_text", "doc_id"]
-    own_row = F.array(F.lit(None).cast("struct<at:int,length:int,hash:bigint,first:int,count:int,around:array<string>>"))
-    seeds = read.select(*key, F.size("words").alias("n_words"), F.explode(F.concat(own_row, _seeds(short_lengths, with_words=small))).alias("seed"))
-    hits = seeds.join(
-        prints, (F.col("seed.length") == prints["length"]) & (F.col("seed.hash") == prints["hash"]), "left"
-    ).where(F.col("printed") | F.col("seed").isNull())
-    hits = hits.select(*key, "n_words", "seed")
-    if not small:
-        hits = _with_words(hits, named, key)
-    no_window = F.array(F.lit(None).cast("struct<start:int,length:int,window:string>"))
-    spread = hits.select(*key, "n_words", F.explode(F.when(F.col("seed").isNull(), no_window).otherwise(_windows())).alias("at"))
-    found = spread.join(windows, F.col("at.window") == windows["window"], "left").where(F.col("items").isNotNull() | F.col("at").isNull())
-    merged = found.groupBy(*key).agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.count(F.when(F.col("at").isNull(), 1)).alias("rows"),
-        F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at.start", (F.col("at.start") + F.col("at.length")).alias("end")))).alias("windows"),
-        F.collect_set("items").alias("items"),
-    )
+    gathered = _scan_small(named, tables, short_lengths) if small else _scan_large(named, tables, short_lengths)
     # Running over sorted windows: how far words are covered, and how many are.
     start = F.named_struct(F.lit("reached"), F.lit(0), F.lit("n"), F.lit(0).cast("long"))
     covered = F.aggregate(
@@ -168,30 +152,60 @@ def scan(
         ),
         lambda done: done["n"],
     )
-    return (
-        merged.withColumn("windows", F.array_sort("windows"))
-        .select(
-            *key,
-            "n_words",
-            "windows",
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
-            F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row"),
-        )
-        .drop("row")
-        .withColumn("n_hit", covered)
-    )
+    return gathered.withColumns({"windows": F.array_sort("windows"), "items": F.array_sort(F.array_distinct(F.flatten("items")))}).withColumn("n_hit", covered)
+
+
+_KEY = ["key_id", "key_text", "doc_id"]
+_HIT = "struct<start:int,end:int>"
 
 
-def _with_words(hits: DataFrame, named: DataFrame, key: list[str]) -> DataFrame:
-    """Fetch the words around each hit from the documents, for a benchmark too large to broadcast."""
-    texts = named.dropDuplicates(["key_id", "key_text"]).select(F.col("key_id").alias("k1"), F.col("key_text").alias("k2"), "words")
+def _ranges_of_hits() -> Column:
+    return F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at.start", (F.col("at.start") + F.col("at.length")).alias("end"))))
+
+
+def _read(named: DataFrame) -> DataFrame:
+    return named.withColumn("grams", _grams("words")).withColumn("lows", _lows("grams"))
+
+
+def _scan_small(named: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], short_lengths: list[int]) -> DataFrame:
+    """One pass: every document carries a row of its own through joins with broadcast tables."""
+    prints, windows, lists = map(F.broadcast, tables)
+    own_row = F.array(F.lit(None).cast("struct<at:int,length:int,hash:bigint,first:int,count:int,around:array<string>>"))
+    seeds = _read(named).select(*_KEY, F.size("words").alias("n_words"), F.explode(F.concat(own_row, _seeds(short_lengths, with_words=True))).alias("seed"))
+    hits = seeds.join(prints, (F.col("seed.length") == prints["length"]) & (F.col("seed.hash") == prints["hash"]), "left").where(F.col("printed") | F.col("seed").isNull())
+    no_window = F.array(F.lit(None).cast("struct<start:int,length:int,window:string>"))
+    spread = hits.select(*_KEY, "n_words", F.explode(F.when(F.col("seed").isNull(), no_window).otherwise(_windows())).alias("at"))
+    found = spread.join(windows, F.col("at.window") == windows["window"], "left").where(F.col("list_id").isNotNull() | F.col("at").isNull())
+    merged = found.groupBy(*_KEY).agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count(F.when(F.col("at").isNull(), 1)).alias("rows"), _ranges_of_hits().alias("windows"), F.collect_set("list_id").alias("list_ids")
+    )
+    # The same key deals out what follows, so nothing is shuffled again.
+    listed = merged.select("*", F.explode_outer("list_ids").alias("list_id")).join(lists, "list_id", "left")
+    whole = listed.groupBy(*_KEY).agg(*(F.first(c).alias(c) for c in ("n_words", "rows", "windows")), F.collect_list("items").alias("items"))
+    return whole.select(*_KEY, "n_words", "windows", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("row")).drop("row")
+
+
+def _scan_large(named: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], short_lengths: list[int]) -> DataFrame:
+    """Joins by shuffle, of fingerprints alone; what is found meets the documents again by their keys."""
+    prints, windows, lists = tables
+    key = ["key_id", "key_text"]
+    seeds = _read(named).select(*key, F.explode(_seeds(short_lengths, with_words=False)).alias("seed"))
+    hits = seeds.join(prints, (F.col("seed.length") == prints["length"]) & (F.col("seed.hash") == prints["hash"])).select(*key, "seed").distinct()
     length = F.when(F.col("seed.length") == WINDOW, WINDOW + WINDOW - GRAM).otherwise(F.col("seed.length"))
     around = F.slice("words", F.col("seed.first") + 1, length)
-    filled = F.when(
-        F.col("seed").isNotNull(),
-        F.struct("seed.at", "seed.length", "seed.hash", "seed.first", "seed.count", around.alias("around")),
+    # Seeds of a document are gathered first, so that its words travel once.
+    by_doc = hits.groupBy(*key).agg(F.collect_list("seed").alias("seeds"))
+    texts = named.select(*key, "words").join(by_doc, key).dropDuplicates(key)
+    filled = texts.select(*key, "words", F.explode("seeds").alias("seed")).select(
+        *key, F.struct("seed.at", "seed.length", "seed.hash", "seed.first", "seed.count", around.alias("around")).alias("seed")
     )
-    return hits.join(texts, (F.col("key_id") == F.col("k1")) & (F.col("key_text") == F.col("k2"))).select(*key, "n_words", filled.alias("seed"))
+    spread = filled.select(*key, F.explode(_windows()).alias("at"))
+    found = spread.join(windows, F.col("at.window") == windows["window"]).groupBy(*key).agg(_ranges_of_hits().alias("windows"), F.collect_set("list_id").alias("list_ids"))
+    items = found.select(*key, F.explode("list_ids").alias("list_id")).join(lists, "list_id").groupBy(*key).agg(F.collect_list("items").alias("items"))
+    base = named.select(*_KEY, F.size("words").cast("long").alias("n_words"))
+    none = F.array().cast(f"array<{_HIT}>"), F.array().cast("array<array<string>>")
+    joined = base.join(found.select(*key, "windows").join(items, key), key, "left")
+    return joined.select(*_KEY, "n_words", F.coalesce("windows", none[0]).alias("windows"), F.coalesce("items", none[1]).alias("items"))
 
 
 def digests(scanned: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from sparklex.llm import decontaminate as d
 
 
@@ -63,7 +65,27 @@ def test_repeated_rows_and_empty_tables(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 2
 
 
-def test_native(spark):
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}])
+def test_native(spark, options):
     docs, items = tables(spark, [(1, "a")], [(1, "a")])
-    plan = d.scan(docs, items)._jdf.queryExecution().executedPlan().toString()
+    plan = d.scan(docs, items, **options)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_a_passage_of_all_items(spark):
+    """Items that share a passage are listed once, however many documents hold it."""
+    passage = " ".join(f"w{i}" for i in range(14))
+    items = [(i, f"{passage} own{i} end") for i in range(60)]
+    docs = [(i, f"before {passage} after{i}") for i in range(30)] + [(100, "no such words"), (100, "no such words"), (101, f"{passage} {passage}")]
+    for options in ({}, {"broadcast_bytes": 0}):
+        compare(spark, docs, items, **options)
+    _, windows, lists = d.benchmark_tables(spark.createDataFrame(items, "item_id bigint, text string"))
+    assert lists.count() == 61 and windows.count() == 5 + 60 * 2
+
+
+def test_documents_without_a_hit_are_in_no_join(spark):
+    """In the form for large benchmarks no join has a null key on either side."""
+    docs, items = tables(spark, [(i, "nothing shared here") for i in range(50)], [(1, "one two three")])
+    plan = d.scan(docs, items, broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and sum("LeftOuter" in line for line in joins) == 1 and all("key_id" in line for line in joins if "LeftOuter" in line)
