@@ -8,10 +8,13 @@ words that labelled documents tie to either label.  They are fitted on a bounded
 sample of labelled rows, ``max_train_docs``.
 
 *Site.*  Labels are counted by host, and by path within a host, over all
-labelled rows.  A host's rate of bad documents is shrunk toward the global rate,
-and a path's toward its host's, by Beta priors whose weight is estimated from the
-spread of the rates between sites (method of moments).  A site with few labels
-thus stays near its parent; one without labels takes its parent's rate.
+labelled rows, for low quality and for toxicity apart.  A host's rate is shrunk
+toward the global rate, and a path's toward its host's, by Beta priors whose weight
+is estimated from the spread of the rates between sites (method of moments).  A
+site with few labels thus stays near its parent; one without labels takes its
+parent's rate.  Rates are found for the distinct sites of the documents, and joined
+to them by broadcast if these are counted few; else sites with a large share of the
+documents are joined by broadcast and all others by shuffle.
 
 A document is rejected where the posterior probability that it is low in quality
 or toxic exceeds ``THRESHOLD``.  A site can move that only as far as the spread
@@ -20,7 +23,10 @@ between sites warrants.
 Defined cases: rows without a label train nothing; a label of null counts as the
 harmless value; of repeated labels of an id the worst counts; if the sample holds
 one class only, that model is a constant; a null or empty text is judged by its
-shape; a null host or path is a site of its own; repeated rows each give a row.
+shape; a null host or path is a site of its own; a probability right at the
+threshold is accepted; repeated rows each give a row; an empty table of documents
+gives an empty result, and without labels all are accepted; other columns are kept
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import map_slices, shared_checkpoint, small_side
+from .common import map_slices, shared_checkpoint, small_side, split_join
 
 MAX_TRAIN_DOCS = 20_000
 HASH_BITS = 20
@@ -233,25 +239,53 @@ def _weight(n_sites: float, n: float, bad: float, squares: float, n_squares: flo
     return min(inner / between - 1, 1e9) if between > inner * 1e-9 and inner > between else (1e9 if between <= inner * 1e-9 else 1.0)
 
 
-def site_posteriors(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Posterior rates by host and by (host, path), and the global rate, from rows ``host, path, bad``."""
-    paths = shared_checkpoint(labelled.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    total = hosts.agg(F.count(F.lit(1)).alias("sites"), F.sum("hn").alias("n"), F.sum("hk").alias("k"), F.sum(F.col("hn").cast("double") ** 2).alias("nn")).first()
-    n, k = float(total.n or 0), float(total.k or 0)
-    rate = (k + 0.5) / (n + 1)
-    squares = hosts.agg(F.sum(F.col("hn") * (F.col("hk") / F.col("hn") - rate) ** 2)).first()[0] or 0.0
-    host_weight = _weight(total.sites, n, k, squares, total.nn or 0.0)
-    host = hosts.withColumn("host_rate", (F.col("hk") + host_weight * F.lit(rate)) / (F.col("hn") + host_weight))
-    joined = paths.join(host.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+LABELS = ("low", "toxic")
+
+
+def site_posteriors(labelled: DataFrame, names: tuple[str, ...] = LABELS) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """Posterior rates by host and by (host, path), and the global rates, from rows ``host, path`` and labels of 0 or 1.
+
+    The rates of a label ``x`` are ``host_x`` and ``path_x``.
+    """
+    paths = shared_checkpoint(labelled.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"k_{x}") for x in names)))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *(F.sum(f"k_{x}").alias(f"h_{x}") for x in names))
+    total = hosts.agg(
+        F.count(F.lit(1)).alias("sites"), F.sum("hn").alias("n"), F.sum(F.col("hn").cast("double") ** 2).alias("nn"), *(F.sum(f"h_{x}").alias(f"k_{x}") for x in names)
+    ).first()
+    n = float(total.n or 0)
+    rates = {x: (float(total[f"k_{x}"] or 0) + 0.5) / (n + 1) for x in names}
+    spread = hosts.agg(*(F.sum(F.col("hn") * (F.col(f"h_{x}") / F.col("hn") - rates[x]) ** 2).alias(x) for x in names)).first()
+    for x in names:
+        weight = _weight(total.sites, n, float(total[f"k_{x}"] or 0), spread[x] or 0.0, total.nn or 0.0)
+        hosts = hosts.withColumn(f"host_{x}", (F.col(f"h_{x}") + weight * F.lit(rates[x])) / (F.col("hn") + weight))
+    joined = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     inside = joined.agg(
         F.count(F.lit(1)).alias("sites"),
-        F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("hk") / F.col("hn")) ** 2).alias("squares"),
         F.sum(F.col("n").cast("double") ** 2).alias("nn"),
+        *(F.sum(F.col("n") * (F.col(f"k_{x}") / F.col("n") - F.col(f"h_{x}") / F.col("hn")) ** 2).alias(x) for x in names),
     ).first()
-    path_weight = _weight(inside.sites - total.sites + 1, n, k, inside.squares or 0.0, inside.nn or 0.0)
-    path = joined.select("host", "path", ((F.col("k") + path_weight * F.col("host_rate")) / (F.col("n") + path_weight)).alias("path_rate"))
-    return host.select("host", "host_rate"), path, rate
+    path_rates = []
+    for x in names:
+        weight = _weight(inside.sites - total.sites + 1, n, float(total[f"k_{x}"] or 0), inside[x] or 0.0, inside.nn or 0.0)
+        path_rates.append(((F.col(f"k_{x}") + weight * F.col(f"host_{x}")) / (F.col("n") + weight)).alias(f"path_{x}"))
+    return hosts.select("host", *(f"host_{x}" for x in names)), joined.select("host", "path", *path_rates), rates
+
+
+def _site_key(host: Column, path: Column) -> Column:
+    return F.xxhash64(host.isNull(), F.coalesce(host, F.lit("")), path.isNull(), F.coalesce(path, F.lit("")))
+
+
+def site_rates(sites: DataFrame, hosts: DataFrame, paths: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """``site, n`` and a rate by label for each distinct ``host, path`` of ``sites``: the path's, else the host's, else the global one."""
+    found = sites.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    found = found.join(paths.withColumnsRenamed({"host": "h2", "path": "p2"}), F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left")
+    found = found.join(small_side(hosts.withColumnRenamed("host", "h1"), BROADCAST_SITES), F.col("host").eqNullSafe(F.col("h1")), "left")
+    return found.select(_site_key(F.col("host"), F.col("path")).alias("site"), "n", *(_inside(F.coalesce(f"path_{x}", f"host_{x}", F.lit(rate))).alias(f"rate_{x}") for x, rate in rates.items()))
+
+
+def _inside(rate: Column) -> Column:
+    """A rate that has finite log-odds."""
+    return F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
 
 
 def judge(
@@ -263,27 +297,27 @@ def judge(
     text_col: str = "text",
     label_id_col: str = "doc_id",
     threshold: float = THRESHOLD,
+    broadcast_sites: int = BROADCAST_SITES,
 ) -> DataFrame:
-    """``row`` (all columns of ``docs``) with ``evidence``, ``site_rate``, ``p_bad`` and ``accepted``.
+    """``row`` (all columns of ``docs``) with ``evidence``, ``rate_low``, ``rate_toxic``, ``p_bad`` and ``accepted``.
 
-    The host defaults to the column ``source``, the path to ``lang``.
+    The host defaults to the column ``source``, the path to ``lang``: the standard documents have no address, and
+    these two are what they say of where they come from.
     """
-    host = F.col("source") if host is None else host
-    path = F.col("lang") if path is None else path
+    host = (F.col("source") if host is None else host).cast("string")
+    path = (F.col("lang") if path is None else path).cast("string")
     model = fit(docs, labels, id_col, text_col, label_id_col)
-    sites = docs.select(F.col(id_col).alias("label_id"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    bad = _labelled(labels, label_id_col).select("label_id", F.greatest("low", "toxic").alias("bad"))
-    hosts, paths, rate = site_posteriors(sites.join(bad, "label_id").select("host", "path", "bad"))
-    hosts = small_side(shared_checkpoint(hosts), BROADCAST_SITES).withColumnRenamed("host", "h1")
-    paths = small_side(shared_checkpoint(paths), BROADCAST_SITES).withColumnsRenamed({"host": "h2", "path": "p2"})
-    rows = docs.select(F.struct("*").alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), evidence(docs, model, text_col).alias("evidence"))
-    placed = rows.join(hosts, F.col("host").eqNullSafe(F.col("h1")), "left").join(
-        paths, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left"
-    )
-    site_rate = F.coalesce("path_rate", "host_rate", F.lit(rate))
-    shift = F.log(site_rate / (1 - site_rate)) - F.lit(math.log(rate / (1 - rate)))
-    p_low, p_toxic = (1 / (1 + F.exp(-F.col(f"evidence.{c}") - shift)) for c in ("low", "toxic"))
-    return placed.select("row", "evidence", site_rate.alias("site_rate"), F.greatest(p_low, p_toxic).alias("p_bad")).withColumn("accepted", F.col("p_bad") <= threshold)
+    sites = docs.select(F.col(id_col).alias("label_id"), host.alias("host"), path.alias("path"))
+    hosts, paths, rates = site_posteriors(sites.join(_labelled(labels, label_id_col), "label_id").select("host", "path", *LABELS))
+    table = shared_checkpoint(site_rates(sites, shared_checkpoint(hosts), paths, rates))
+    rows = docs.select(F.struct("*").alias("row"), _site_key(host, path).alias("site"), evidence(docs, model, text_col).alias("evidence"))
+    if table.limit(broadcast_sites + 1).count() <= broadcast_sites:
+        placed = rows.join(F.broadcast(table.drop("n")), "site")
+    else:
+        placed = split_join(rows, table, ["site"], "n")
+    odds = {x: F.log(F.col(f"rate_{x}") / (1 - F.col(f"rate_{x}"))) - F.lit(math.log(rate / (1 - rate))) for x, rate in rates.items()}
+    p_low, p_toxic = (1 / (1 + F.exp(-F.col(f"evidence.{x}") - odds[x])) for x in LABELS)
+    return placed.select("row", "evidence", "rate_low", "rate_toxic", F.greatest(p_low, p_toxic).alias("p_bad")).withColumn("accepted", F.col("p_bad") <= threshold)
 
 
 def accepted(judged: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select(F.col("row.doc_id").alias("doc_id"), "site_rate", "p_bad", "accepted")
+    return judged.select(F.col("row.doc_id").alias("doc_id"), "rate_low", "rate_toxic", "p_bad", "accepted")
 
 
 QUERIES = {
