@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .license_catalog import CATALOG, SPELLINGS
+from .license_catalog import CATALOG, DIGESTS, SPELLINGS
+from .licenses import COPYRIGHT, HEAD, HEAD_LINES, SEVERAL_WORDS
 from .url_filter import BLOCKED_GLOBS
 
 
@@ -19,8 +20,15 @@ def _license_lines(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\n©]+', ' ', 'g')"
     for variant, spelling in SPELLINGS:
         out = f"replace({out}, {_quoted(variant)}, {_quoted(spelling)})"
-    lines = f"list_transform(string_split({out}, chr(10)), lambda l: trim(l))"
-    return f"list_filter({lines}, lambda l: l <> '' AND NOT regexp_matches(l, '^(copyright( |$)|©|c [0-9]{{4}}( |$)|all rights reserved$)'))"
+    lines = f"list_filter(list_transform(string_split({out}, chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+    return f"list_filter({lines}, lambda l, i: NOT regexp_matches(l, '{COPYRIGHT}') AND NOT (i <= {HEAD_LINES} AND regexp_matches(l, '{HEAD}')))"
+
+
+def _license_text(lines: str) -> str:
+    out = f"array_to_string({lines}, ' ')"
+    for variant, spelling in SEVERAL_WORDS:
+        out = f"replace({out}, {_quoted(variant)}, {_quoted(spelling)})"
+    return out
 
 
 _URL_RULES = """(VALUES ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'),
@@ -50,14 +58,16 @@ FROM d LEFT JOIN places USING (row_no) LEFT JOIN items USING (row_no)
     "op5_licenses": f"""
 WITH catalog(license, unit, text) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in CATALOG)}),
 known AS (
-  SELECT unit, sha256(array_to_string({_license_lines("text")}, ' ')) AS digest, min(license) AS license FROM catalog GROUP BY ALL
+  SELECT unit, digest, min(license) AS license
+  FROM (SELECT license, unit, sha256({_license_text(_license_lines("text"))}) AS digest FROM catalog
+        UNION ALL SELECT license, 'text', digest FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, d in DIGESTS)}) long(license, digest)) GROUP BY ALL
 ), d AS (SELECT row_number() OVER () AS row_no, doc_id, {_license_lines("text")} AS lines FROM documents),
 notices AS (
   SELECT row_no, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices, count(*) AS n
   FROM (SELECT row_no, sha256(unnest(lines)) AS digest FROM d) JOIN known USING (digest) WHERE unit = 'notice' GROUP BY row_no
 )
 SELECT doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0)::bigint AS n_notice_lines
-FROM d LEFT JOIN known ON unit = 'text' AND digest = sha256(array_to_string(lines, ' ')) LEFT JOIN notices USING (row_no)
+FROM d LEFT JOIN known ON unit = 'text' AND digest = sha256({_license_text("lines")}) LEFT JOIN notices USING (row_no)
 """,
     "op7_url_filter": f"""
 WITH parts AS (
