@@ -10,7 +10,9 @@ difference hash compares neighbours of a 9 x 8 grey version.
 
 Defined cases: a null text counts as an empty one; equal texts give equal
 values; a broken or unknown image gives nulls in :func:`tiles`; images of any
-height are resized in blocks of rows.
+height are resized in blocks of rows; neighbours of equal brightness give a 0 in
+the hash; repeated rows each give a row; an empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,7 +159,7 @@ def difference_hash(image: np.ndarray) -> str:
 def npy_tile(image: np.ndarray, size: int = TILE_SIZE) -> bytes:
     """The image resized to a square, as an NPY file."""
     out = io.BytesIO()
-    np.save(out, to_uint8(area_resize(image, size, size)))
+    np.save(out, np.ascontiguousarray(to_uint8(area_resize(image, size, size))))
     return out.getvalue()
 
 
@@ -213,10 +215,10 @@ def tiles(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", si
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as an image, read the stored bytes back, and describe both."""
+    """Store each text as an image, read the stored bytes back, and describe both; ``tile`` is the NPY tile of the image."""
     strings = ("payload_sha256", "media_sha256", "feature")
     longs = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")
-    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *(StructField(c, LongType()) for c in longs), *(StructField(c, StringType()) for c in strings)])
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *(StructField(c, LongType()) for c in longs), *(StructField(c, StringType()) for c in strings), StructField("tile", BinaryType())])
 
     def one(text: str | None) -> dict:
         stored, n_bytes, kind = pack_text(text)
@@ -231,11 +233,12 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "tail_crc32": zlib.crc32(payload[-16:]),
             "media_bytes": len(stored),
             "media_sha256": hashlib.sha256(stored).hexdigest(),
+            "tile": tile,
             "feature": f"{kind}:{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}:{zlib.crc32(tile):08x}",
         }
 
     def turn(batch: pa.RecordBatch):
         rows = [one(text) for text in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0)} | {name: [r[name] for r in rows] for name in (*longs, *strings)}
+        return {"doc_id": batch.column(0)} | {name: [r[name] for r in rows] for name in (*longs, *strings, "tile")}
 
     return map_slices(id_and_text(docs, id_col, text_col), lambda: turn, schema)

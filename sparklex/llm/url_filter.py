@@ -14,7 +14,12 @@ null URL, or one without ``://``, has both empty.
 
 Of the site rules that fit, the longest decides (of equal ones the longer host,
 then the earlier rule).  Where none fits, a URL is blocked if any pattern of
-``blocked`` matches, else allowed.  Repeated rows each give a row.
+``blocked`` matches, else allowed.  Rules may come from a table of any origin
+(:func:`rules_of`); they are counted before they are sent to the tasks.
+
+Defined cases: repeated rows each give a row; a null id stays null; a URL of any
+length is read whole; an empty table gives an empty result; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,6 +68,29 @@ SITE_RULES = (
 BLOCKED_GLOBS = ("*.*free-bets*", "*.*casino*", "*.*poker*", "*.*porn*", "*.*xxx-*", "*.*warez*", "*/ads/*", "*/tracking/*", "*.exe", "*.apk")
 
 
+#: Rules that one automaton holds, and bytes of them.  Its masks take 64 bytes for each byte.
+MAX_RULES = 20_000
+MAX_RULE_BYTES = 1 << 18
+
+
+def rules_of(table: DataFrame) -> tuple[tuple[SiteRule, ...], tuple[str, ...]]:
+    """Site rules and blocked patterns of a table ``verdict, host, path, glob``, in the order of these columns.
+
+    A row with a ``glob`` is a blocked pattern, any other a site rule; nulls in ``host`` and ``path`` are empty.  A
+    table of more than ``MAX_RULES`` rows or ``MAX_RULE_BYTES`` bytes is an error.
+    """
+    names = ("verdict", "host", "path", "glob")
+    rows = table.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names)).distinct()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.concat(*names))).alias("bytes")).first()
+    if size.n > MAX_RULES or (size.bytes or 0) > MAX_RULE_BYTES:
+        raise ValueError(f"{size.n} rules of {size.bytes} bytes are too many for one automaton")
+    found = sorted(tuple(r) for r in rows.collect())
+    wrong = {verdict for verdict, _, _, glob in found if not glob} - {"allow", "block"}
+    if wrong:
+        raise ValueError(f"no such verdict: {', '.join(sorted(wrong))}")
+    return tuple(SiteRule(v, h, p) for v, h, p, g in found if not g), tuple(g for _, _, _, g in found if g)
+
+
 class GlobAutomaton:
     """Extended Shift-And over bytes for a fixed list of globs."""
 
@@ -169,12 +197,14 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 def judge(
     pages: DataFrame,
-    rules: tuple[SiteRule, ...] = SITE_RULES,
+    rules: tuple[SiteRule, ...] | DataFrame = SITE_RULES,
     blocked: tuple[str, ...] = BLOCKED_GLOBS,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row."""
+    """``page_id, host, path, rule, verdict`` of every row; a table of rules, see :func:`rules_of`, brings its own patterns."""
+    if isinstance(rules, DataFrame):
+        rules, blocked = rules_of(rules)
     schema = StructType([StructField("page_id", pages.schema[id_col].dataType), *(StructField(c, StringType()) for c in ("host", "path", "rule", "verdict"))])
     ranked = sorted(rules, key=lambda r: (-len(r.name), -len(r.host)))
 
