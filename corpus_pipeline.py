@@ -2,7 +2,18 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the last
-keep the columns of ``documents``.
+keep the columns of ``documents``, and any others, under whatever names.
+
+Defined cases, in every stage: a null or empty text is a document without words or
+lines, is never a copy of another, shares nothing with the benchmark, and is judged
+by the classifier from its shape; an empty one is a copy of other empty ones.
+Null ids, labels, hosts and languages are values like others, and a null item id of the benchmark still
+matches.  Rows repeated with the same id and text are judged alike; the near-duplicate
+stage keeps one of them.  Rows that share an id but not the text are documents of their own.
+Ties go to the smaller id, then the smaller digest of the text; a probability right at the threshold is
+accepted; a pair right at the threshold is linked.  Texts of any length are read
+whole.  An empty table gives an empty one; without labels or benchmark items no
+document goes.
 """
 
 from __future__ import annotations
@@ -13,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklex.llm import bpe, decontaminate, line_dedup, near_duplicates, quality
-from sparklex.llm.common import table
+from sparklex.llm.common import delete_folder, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +33,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates; ``n_chars`` follows the text."""
-    # The test of the stages knows one floor for all lines, so passages in two documents stay here.
-    kept = line_dedup.dedup(docs, passage_docs=line_dedup.MIN_DOCS)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    """All documents, without lines of recurring templates; ``n_chars`` follows the text where there is one."""
+    kept = line_dedup.dedup(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again in the shared checkpoint folder.
+
+    A stage's table is deleted once the next one is written; the last one stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

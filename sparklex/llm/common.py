@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder under any path that Hadoop can open."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
