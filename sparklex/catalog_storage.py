@@ -22,7 +22,7 @@ from .plans.query import Builder, Query
 from .sources.change_log import ChangeLog, entries_of, fold, wide
 from .sources.documents import search_field
 from .sources.store import MemoryStore, ParquetStore, checkpoint_folder, subfolders
-from .streaming.ingest import DocumentTable, apply_batch, ingest, live
+from .streaming.ingest import DocumentTable, MergePolicy, apply_batch, ingest, live
 
 _PART = {"p_brand": FieldMapping("keyword"), "p_size": FieldMapping("integer")}
 _WITHOUT_BIG = "SELECT p_brand AS key, count(*) AS count FROM (SELECT CASE WHEN p_size > 25 THEN 'big' ELSE p_brand END AS p_brand FROM part WHERE p_size <> 7) GROUP BY 1"
@@ -335,5 +335,15 @@ def flush_and_compact(spark, sf_dir):
     ops = _op_log(spark, sf_dir)
     table = DocumentTable(spark, _scratch(spark), "user_id")
     for number, rest in enumerate((2, 0, 1, 1)):
-        apply_batch(table, ops.where(F.col("seq") % 3 == rest), min(number, 2), compact_every=2)
+        apply_batch(table, ops.where(F.col("seq") % 3 == rest), min(number, 2), MergePolicy(max_batches=2))
+    return live(table.read()).select("user_id", "event_type", "value")
+
+
+@query("flush_by_bytes", _OPS_SQL)
+def flush_by_bytes(spark, sf_dir):
+    """Every batch is over the bound, so each is folded at once."""
+    ops = _op_log(spark, sf_dir)
+    table = DocumentTable(spark, _scratch(spark), "user_id")
+    for number in range(3):
+        apply_batch(table, ops.where(F.col("seq") % 3 == number), number, MergePolicy(0, 1))
     return live(table.read()).select("user_id", "event_type", "value")

@@ -148,3 +148,9 @@ def finished(spark: SparkSession, path: str) -> bool:
     """Was a folder written to its end?"""
     fs, where = _fs(spark, f"{path}/_SUCCESS")
     return fs.exists(where)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder."""
+    fs, where = _fs(spark, path)
+    return fs.getContentSummary(where).getLength()

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import finished, remove, subfolders
+from ..sources.store import finished, remove, stored_bytes, subfolders
 
-#: Batches that may stack up before they are folded into one.
-COMPACT_EVERY = 16
 #: How far behind the newest sequence number a late entry may come and still not bring a deleted document back.
 TOMBSTONE_SPAN = 1 << 20
 
 
+@dataclass(frozen=True)
+class MergePolicy:
+    """When batches are folded into one: that many of them, or of that many bytes together; 0 sets no bound."""
+
+    max_batches: int = 16
+    max_bytes: int = 0
+
+
 class DocumentTable:
     """A log of batches ``op, seq, <key>, <columns>`` under a path: a base, and what came after it.
 
@@ -54,6 +62,10 @@ class DocumentTable:
         """Batches that a read folds."""
         return len(self._parts()[1])
 
+    def bytes(self) -> int:
+        """Stored bytes of the batches that a read folds."""
+        return sum(stored_bytes(self.spark, self._folder("batch", n)) for n in self._parts()[1])
+
     def compact(self) -> None:
         """Fold all batches into the base, without deletes that lie ``tombstone_span`` behind the newest entry."""
         base, batches = self._parts()
@@ -71,25 +83,25 @@ def latest_entries(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
 
 
-def apply_batch(table: DocumentTable, batch: DataFrame, number: int, compact_every: int = COMPACT_EVERY) -> None:
+def apply_batch(table: DocumentTable, batch: DataFrame, number: int, policy: MergePolicy = MergePolicy()) -> None:
     """Append a batch of ``op, seq, <columns>``: the last entry of each key wins, deletes remove it.
 
     The sequence number stays in the table, so late entries do not undo newer ones.
-    What a batch costs depends on its own rows; every ``compact_every`` batches the table is folded.
+    What a batch costs depends on its own rows; the table is folded when the policy says so.
     """
     table.append(batch, number)
-    if compact_every and table.depth() >= compact_every:
+    if (policy.max_batches and table.depth() >= policy.max_batches) or (policy.max_bytes and table.bytes() >= policy.max_bytes):
         table.compact()
 
 
-def ingest(op_log: DataFrame, path: str, checkpoint: str, key: str = "doc_id", interval: str | None = None, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+def ingest(op_log: DataFrame, path: str, checkpoint: str, key: str = "doc_id", interval: str | None = None, policy: MergePolicy = MergePolicy()) -> StreamingQuery:
     """Start folding a stream of ``op, seq, <key>, <columns>`` into the table at ``path``.
 
     ``interval`` is how often a batch is taken; without it all that is there is
     taken and the query ends.
     """
     table = DocumentTable(op_log.sparkSession, path, key)
-    writer = op_log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: apply_batch(table, batch, number, compact_every))
+    writer = op_log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: apply_batch(table, batch, number, policy))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

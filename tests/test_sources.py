@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparklex.sources.change_log import ChangeLog, entries_of, fold, wide
 from sparklex.sources.documents import from_json, latest, to_json, upsert
 from sparklex.sources.store import MemoryStore, ParquetStore
-from sparklex.streaming.ingest import DocumentTable, apply_batch, ingest, live
+from sparklex.streaming.ingest import DocumentTable, MergePolicy, apply_batch, ingest, live
 
 
 def pairs(spark, *rows):
@@ -103,8 +103,12 @@ def test_batches_are_appended_and_folded(spark, tmp_path):
     assert table.depth() == 0 and {r.doc_id: r.op for r in table.read().collect()} == {"a": "index", "c": "index"}
     apply_batch(table, batch(("index", 1, "a", "again")), 1)  # tried again after it was folded
     assert table.depth() == 0
-    apply_batch(table, batch(("index", 0, "a", "late"), ("delete", 41, "c", None)), 2, compact_every=1)
+    apply_batch(table, batch(("index", 0, "a", "late"), ("delete", 41, "c", None)), 2, MergePolicy(1))
     assert [(r.doc_id, r.body) for r in live(table.read()).collect()] == [("a", "two")]
+    apply_batch(table, batch(("index", 50, "d", "new")), 3, MergePolicy(0, 1 << 30))
+    assert table.depth() == 1 and 0 < table.bytes() < 1 << 20
+    apply_batch(table, batch(("index", 51, "d", "newer")), 4, MergePolicy(0, 1))
+    assert table.depth() == 0
 
 
 def test_memory_store_cuts_its_lineage(spark, monkeypatch):
