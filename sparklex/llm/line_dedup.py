@@ -60,7 +60,7 @@ def _hash(text: str) -> int:
 def masked(line: str) -> list[str]:
     """Tokens of a line, those with a digit as a wildcard."""
     tokens = line.split()
-    out = [WILDCARD if any(map(str.isdigit, token)) else token for token in tokens]
+    out = [WILDCARD if not token.isalpha() and any(map(str.isdigit, token)) else token for token in tokens]
     return tokens if len(tokens) < MIN_MASKED and all(token == WILDCARD for token in out) else out
 
 
