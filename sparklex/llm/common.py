@@ -13,7 +13,10 @@ from pyspark.sql.types import StructType
 
 #: Rows, and bytes of strings, that a worker turns at once; a batch is cut into pieces of this size, but a row is never cut.
 SLICE_ROWS = 512
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes that the JVM hands a worker at once, unless the session asks for less; both sides hold such a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key with more than one row in this many is hot; no table has more hot keys than this.
 HOT_KEYS = 1000
 #: Keys that a sketch of frequent ones tracks; its error stays below half of a hot key's rows.
@@ -67,6 +70,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow_schema = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = make()
@@ -80,6 +84,13 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches from now on; a row is never cut."""
+    given = spark.conf.get(_BATCH_SETTING)
+    if int("".join(filter(str.isdigit, given))) > BATCH_BYTES or not given.rstrip("b").isdigit():
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
     """Where to cut a batch: at most ``SLICE_ROWS`` rows and ``SLICE_BYTES`` bytes of strings, or one row."""
     sizes = np.zeros(batch.num_rows, np.int64)

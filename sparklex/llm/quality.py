@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import map_slices, shared_checkpoint, small_side, split_join
+from .common import map_slices, shared_checkpoint, small_batches, small_side, split_join
 
 MAX_TRAIN_DOCS = 20_000
 HASH_BITS = 20
@@ -213,6 +213,7 @@ def _read(text: str | None) -> tuple[list[float], np.ndarray]:
 
 def evidence(docs: DataFrame, model: DocumentModel, text_col: str = "text") -> Column:
     """Column ``struct<low, toxic>`` of log-odds from the text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([StructField("low", DoubleType()), StructField("toxic", DoubleType())])
 
