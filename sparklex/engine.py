@@ -22,13 +22,17 @@ from .operators import expand, index, vector
 from .operators.filters import passes
 from .operators.posting_search import StoredIndex, expand_postings, match_postings, prefix_postings
 from .operators.search import SearchOptions, SearchResult, Totals, match_rows, present, search
-from .plans.mapping import SKIP, VECTOR, FieldMapping, Schema, infer_mapping
+from .plans.mapping import SKIP, TEXT, VECTOR, FieldMapping, Schema, infer_mapping
 from .plans.query import Query
 from .sources import documents
 from .sources.change_log import DELETE, INDEX, ChangeLog, entries_of, fold, wide
 from .sources.store import MemoryStore, checkpoint_folder, remove, subfolders
 
 
+#: Bytes of input from which texts are worth spreading, and up to which each core may get.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 64 << 20
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Settings of an engine.
@@ -98,6 +102,7 @@ class SearchEngine:
         schema = infer_mapping(df, "doc_id", explicit, self.schema)
         for name, boost in (boosts or {}).items():
             schema[name] = replace(schema[name], boost=float(boost))
+        df = self._spread(df, schema)
         names, vectors = self._loggable(schema, df)
         with self._lock:
             if self._log:
@@ -108,6 +113,17 @@ class SearchEngine:
             self._add(df, schema)
         return self
 
+    def _spread(self, df: DataFrame, schema: Schema) -> DataFrame:
+        """A small input with texts, dealt out to all cores: it may lie in a single row group, which one task would analyse.
+
+        Larger inputs have splits enough and stay where they are.
+        """
+        if not any(schema[c].type == TEXT and schema[c].index for c in df.columns if c in schema):
+            return df
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, "doc_id") if SPREAD_FROM < size <= cores * SPREAD_TO else df
+
     def _add(self, df: DataFrame, schema: Schema) -> None:
         self.schema = schema
         self._set_rows(df if self.rows is None else documents.upsert(self.rows, df, "doc_id"))

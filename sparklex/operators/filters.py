@@ -6,11 +6,13 @@ WHERE they exclude such rows, and the optimizer can move them into the scan.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.patterns import java_regex
 from ..functions.text import has_phrase, has_term
@@ -59,6 +61,8 @@ def in_range(corpus: DataFrame, bounds: Range) -> Column:
     if name not in corpus.columns:
         return F.lit(False)
     value = F.col(name)
+    if isinstance(corpus.schema[name].dataType, T.IntegralType):
+        return all_of([value.isNotNull(), *_whole_bounds(value, bounds)])
     tests = [value.isNotNull() & ~F.isnan(value)]
     tests += [] if bounds.gte is None else [value >= float(bounds.gte)]
     tests += [] if bounds.lte is None else [value <= float(bounds.lte)]
@@ -67,6 +71,23 @@ def in_range(corpus: DataFrame, bounds: Range) -> Column:
     return all_of(tests)
 
 
+def _whole_bounds(value: Column, bounds: Range) -> list[Column]:
+    """Bounds on a whole number as whole numbers, which a scan can use; those beyond 64 bits hold for all or none."""
+    out = []
+    for bound, lower, open_ in ((bounds.gte, True, False), (bounds.lte, False, False), (bounds.gt, True, True), (bounds.lt, False, True)):
+        if bound is None:
+            continue
+        if math.isnan(bound):
+            out.append(F.lit(False))
+        elif math.isinf(bound) or not -(1 << 63) <= bound < 1 << 63:
+            out.append(F.lit((bound < 0) == lower))
+        elif lower:
+            out.append(value > F.lit(math.floor(bound)).cast("bigint") if open_ else value >= F.lit(math.ceil(bound)).cast("bigint"))
+        else:
+            out.append(value < F.lit(math.ceil(bound)).cast("bigint") if open_ else value <= F.lit(math.floor(bound)).cast("bigint"))
+    return out
+
+
 def _stored(corpus: DataFrame, schema: Schema, field: str) -> Column | None:
     return F.col(f"v_{field}") if f"v_{field}" in corpus.columns and schema[field].store else None
 

@@ -59,8 +59,13 @@ def _plain_columns(name: str, mapping: FieldMapping, kind: T.DataType) -> list[C
         out += [value.alias(f"r_{name}"), F.when(value.isNotNull(), F.array(value)).alias(f"t_{name}")]
     if mapping.index and mapping.type in NUMERIC:
         parse = {INTEGER: parse_integer, BOOLEAN: parse_boolean}.get(mapping.type, parse_float)
-        is_number = isinstance(kind, T.IntegralType) or (mapping.type == FLOAT and isinstance(kind, T.NumericType))
-        out.append((F.col(name) if is_number and mapping.type != BOOLEAN else parse(value)).cast("double").alias(f"n_{name}"))
+        if isinstance(kind, T.IntegralType) and mapping.type != BOOLEAN:
+            number = F.col(name).cast("bigint")  # as it is stored, so that its bounds reach the scan
+        elif isinstance(kind, T.NumericType) and mapping.type == FLOAT:
+            number = F.col(name).cast("double")
+        else:
+            number = parse(value).cast("double")
+        out.append(number.alias(f"n_{name}"))
     return out
 
 
@@ -142,5 +147,5 @@ def field_stats(corpus: DataFrame) -> DataFrame:
 def numeric_points(corpus: DataFrame) -> DataFrame:
     """``doc_id, field, value`` of every indexed number."""
     fields = [c[2:] for c in corpus.columns if c.startswith("n_")]
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("value")) for f in fields)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").cast("double").alias("value")) for f in fields)))
     return corpus.select("doc_id", pairs.alias("p")).where(F.col("p.value").isNotNull()).select("doc_id", "p.field", "p.value")

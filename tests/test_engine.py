@@ -345,3 +345,28 @@ def test_documents_of_the_store_are_recovered(spark, tmp_path):
     engine.delete("3")
     again = SearchEngine(spark, config)
     assert again.size() == 2 and ids(again.search(Builder().must("body", "rust").build()).hits) == ["2"]
+
+
+def test_small_texts_are_spread_and_filters_still_reach_the_scan(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "d.parquet")
+    spark.range(500).select("id", F.concat(F.lit("go "), F.col("id").cast("string")).alias("body"), (F.col("id") % 50).alias("price")).coalesce(1).write.parquet(path)
+    mapping = TEXT | {"price": FieldMapping("integer")}
+    make = lambda: SearchEngine(spark, EngineConfig(mapping=mapping)).index(spark.read.parquet(path), "id", check_ids=False)
+    query = Builder().must("body", "go").range("price", gte=40, lt=42).build()
+    plain = [tuple(r) for r in make().search(query).hits.collect()]
+    assert "Repartition" not in plan_of(make().corpus)
+    monkeypatch.setattr("sparklex.engine.SPREAD_FROM", 0)
+    engine = make()
+    assert "Repartition" in plan_of(engine.corpus) and [tuple(r) for r in engine.search(query).hits.collect()] == plain and len(plain) == 20
+    hits = engine.search(query).hits
+    assert all(name in hits._jdf.queryExecution().executedPlan().toString() for name in ("GreaterThanOrEqual(price,40)", "LessThan(price,42)"))
+    monkeypatch.setattr("sparklex.engine.SPREAD_TO", 1)
+    assert "Repartition" not in plan_of(make().corpus)
+
+
+def test_bounds_on_whole_numbers(spark):
+    rows = [(str(i), "item", n) for i, n in enumerate([-5, 0, 3, 4, 1 << 60, None])]
+    engine = engine_of(spark, rows, "doc_id string, body string, n bigint", mapping=TEXT | {"n": FieldMapping("integer")})
+    find = lambda **bounds: [int(i) for i in sorted(ids(engine.search(Builder().range("n", **bounds).build()).hits))]
+    assert find(gte=2.5, lte=4) == [2, 3] and find(gt=3, lt=4.5) == [3] and find(gt=2.5, lt=3.5) == [2] and find(lt=-0.5) == [0]
+    assert find(gte=float("-inf")) == find(lte=1e30) == find(gte=-5) == [0, 1, 2, 3, 4] and find(gt=1e30) == find(lt=float("-inf")) == find(gte=float("nan")) == []
