@@ -17,6 +17,8 @@ SLICE_BYTES = 4 << 20
 #: Bytes that the JVM hands a worker at once, unless the session asks for less; both sides hold such a batch several times over.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a table from which it is worth spreading, and up to which each core may get.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 16 << 20
 #: A key with more than one row in this many is hot; no table has more hot keys than this.
 HOT_KEYS = 1000
 #: Keys that a sketch of frequent ones tracks; its error stays below half of a hot key's rows.
@@ -27,7 +29,19 @@ SKETCH_GROUPS = 64
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard Parquet tables, read through Spark's own readers."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out to all of them; any other as it is.
+
+    Such a file may be a single row group, which one task would work on alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if SPREAD_FROM < size <= cores * SPREAD_TO else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -70,3 +70,16 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://x", "local-cluster[3,2,1000]", "yarn"):
         with pytest.raises(ValueError):
             common.shared_folder(Session(master))
+
+
+def test_only_small_tables_in_few_files_are_spread(spark, tmp_path, monkeypatch):
+    rows = spark.range(2000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    for files in (1, 8):
+        rows.repartition(files).write.parquet(str(tmp_path / f"{files}.parquet"))
+    plan = lambda name: common.table(spark, str(tmp_path), name)._jdf.queryExecution().toString()
+    assert "Repartition" not in plan("1") and "Repartition" not in plan("8")
+    monkeypatch.setattr(common, "SPREAD_FROM", 0)
+    assert "Repartition" in plan("1") and "Repartition" not in plan("8")
+    assert sorted(common.table(spark, str(tmp_path), "1").collect()) == sorted(rows.collect())
+    monkeypatch.setattr(common, "SPREAD_TO", 1)
+    assert "Repartition" not in plan("1")
