@@ -33,8 +33,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of recurring templates; ``n_chars`` follows the text where there is one."""
-    kept = line_dedup.dedup(docs)
+    """All documents, without lines of recurring templates; ``n_chars`` follows the text where there is one.
+
+    Passages that only two documents hold stay: of two copies the next stage drops one whole, which it could not
+    recognise if this one had taken its lines.
+    """
+    kept = line_dedup.dedup(docs, passage_docs=line_dedup.MIN_DOCS)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
