@@ -55,16 +55,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class PairRanks:
-    """Rank of the token that two adjacent tokens make, for whole arrays of pairs."""
+class PairTable:
+    """A table of pairs of numbers, ``left << 32 | right`` to a number, for whole arrays of pairs."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.by_pair: dict[int, int] = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    self.by_pair[left << 32 | right] = rank
+    def __init__(self, by_pair: dict[int, int]):
+        self.by_pair = by_pair
         size = 1 << max(4, (4 * len(self.by_pair)).bit_length())
         self._shift = np.uint64(64 - size.bit_length() + 1)
         self._mask = size - 1
@@ -86,7 +81,7 @@ class PairRanks:
         return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, -1 where the two make no token."""
+        """The number of each pair, -1 where there is none."""
         pairs = left.astype(np.int64) << 32 | right.astype(np.int64)
         slots = self._slot(pairs)
         found = self._keys[slots]
@@ -101,6 +96,17 @@ class PairRanks:
         return out
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> PairTable:
+    """Rank of the token that two adjacent tokens make."""
+    by_pair: dict[int, int] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                by_pair[left << 32 | right] = rank
+    return PairTable(by_pair)
+
+
 class SegmentTreeBpe:
     """Encoder and decoder of one vocabulary of byte tokens."""
 
@@ -109,7 +115,7 @@ class SegmentTreeBpe:
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks = ranks
-        self.pairs = PairRanks(ranks)
+        self.pairs = pair_ranks(ranks)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.token = {rank: token for token, rank in ranks.items()}
 

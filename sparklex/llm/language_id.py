@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from .bpe import read_ranks
+from .bpe import PairTable, read_ranks
 from .common import map_slices, shared_checkpoint
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -76,13 +76,16 @@ def words_of(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """Pieces by their bytes, and all their beginnings, so that a search can stop early."""
+    """Pieces by their bytes, and all their beginnings, so that a search can stop early; also as a trie for many searches at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.size = max(ranks.values(), default=-1) + 1
         self.longest = max(map(len, ranks), default=1)
         self.beginnings = {piece[:n]: -1 for piece in ranks for n in range(1, len(piece))}
         self.beginnings.update(ranks)
+        states = {beginning: i for i, beginning in enumerate(self.beginnings, 1)}
+        self.steps = PairTable({states.get(b[:-1], 0) << 32 | b[-1]: i for b, i in states.items()})
+        self.piece_at = np.array([-1, *self.beginnings.values()], np.int64)
 
     def from_start(self, raw: bytes, start: int) -> list[tuple[int, int]]:
         """(end, piece) of all pieces that begin at a place."""
@@ -104,25 +107,34 @@ class Lattice:
     """
 
     def __init__(self, vocabulary: Vocabulary, raws: list[bytes]):
-        get = vocabulary.beginnings.get
-        edges: list[int] = []
-        for row, raw in enumerate(raws):
-            n = len(raw)
-            for start in range(n):
-                for end in range(start + 1, n + 1):
-                    piece = get(raw[start:end])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        edges += (row, start, end, piece)
-        self.rows = len(raws)
-        self.longest = vocabulary.longest
+        self.rows, self.longest = len(raws), vocabulary.longest
         self.ends = np.fromiter(map(len, raws), np.int64, len(raws))
-        row, start, end, piece = np.array(edges, np.int64).reshape(-1, 4).T
-        order = np.lexsort((row, end - start, end))
+        flat = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+        row_of = np.repeat(np.arange(self.rows), self.ends)
+        first = (np.cumsum(self.ends) - self.ends)[row_of]  # where each place's word begins
+        last = first + self.ends[row_of]
+        at, state = np.arange(len(flat)), np.zeros(len(flat), np.int64)
+        rows, starts, ends, pieces = [], [], [], []
+        for n in range(1, self.longest + 1):  # from every place at once, as long as some piece begins so
+            inside = at + n <= last[at]
+            at, state = at[inside], state[inside]
+            state = vocabulary.steps.look_up(state, flat[at + n - 1])
+            found = state >= 0
+            at, state = at[found], state[found]
+            if not len(at):
+                break
+            piece = vocabulary.piece_at[state]
+            whole = at[piece >= 0]
+            rows.append(row_of[whole])
+            starts.append(whole - first[whole])
+            ends.append(whole - first[whole] + n)
+            pieces.append(piece[piece >= 0])
+        row, start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts, ends, pieces))
+        group = end * (self.longest + 1) + (end - start)
+        # Places were walked in the order of the words, so a stable sort leaves each group in that order.
+        order = np.argsort(group.astype(np.int16) if len(group) and group.max() < 1 << 15 else group, kind="stable")
         self.row, self.start, self.end, self.piece = row[order], start[order], end[order], piece[order]
-        group = self.end * (vocabulary.size + 1) + (self.end - self.start)
-        cuts = np.flatnonzero(np.diff(group)) + 1
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
         self.groups = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)])) if len(group) else []
 
     def _sums(self, weights: np.ndarray, forward: bool) -> np.ndarray:
