@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SIDE_BY_SIDE = 64
 #: Pieces merged in one numpy call.
 GROUP = 4096
-#: Bytes of pieces and their ids that a task remembers before it forgets them all; long pieces are not remembered.
-CACHE_BYTES = 16 << 20
+#: Bytes of pieces and their ids that a task remembers before it forgets them all, and what Python adds to each; long pieces are not remembered.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 _NONE = np.int64(1) << 62
 
@@ -275,7 +275,7 @@ class TextEncoder:
                     long[piece] = merged[key]
                 else:
                     cache[piece] = merged[key]
-                    self.cached += len(key) + len(merged[key])
+                    self.cached += len(key) + len(merged[key]) + ENTRY_BYTES
         if not long:
             return [b"".join([cache[piece] for piece in pieces]) for pieces in split]
         return [b"".join([cache[piece] if piece in cache else long[piece] for piece in pieces]) for pieces in split]

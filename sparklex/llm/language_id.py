@@ -46,8 +46,8 @@ UNDETERMINED = "und"
 MAX_TRAIN_DOCS = 8_000
 EM_ROUNDS = 2
 SMOOTHING = 0.05
-#: Words a task remembers the scores of before it forgets them all.
-CACHE_WORDS = 400_000
+#: Words, and letters of them, that a task remembers the scores of before it forgets them all.
+CACHE_WORDS, CACHE_LETTERS = 400_000, 1 << 23
 MAX_LANGUAGES = 128
 #: Words scored in one step, and cells of their table of sums.
 WORDS_AT_ONCE = 8192
@@ -348,20 +348,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def make():
         names, table = shared.value
         vocabulary = Vocabulary(_vocabulary(path)) if names else None
-        state = {"rows": {}, "scores": np.zeros((1 << 16, len(names)))}
+        state = {"rows": {}, "scores": np.zeros((1 << 16, len(names))), "letters": 0}
 
         def learn_words(split: list[list[str]]) -> None:
             """Score those words that are not remembered."""
             rows = state["rows"]
             fresh = list({word: None for words in split for word in words if word not in rows})
-            if len(rows) + len(fresh) > CACHE_WORDS:
+            if len(rows) + len(fresh) > CACHE_WORDS or state["letters"] > CACHE_LETTERS:
                 rows.clear()
+                state["letters"] = 0
                 fresh = list({word: None for words in split for word in words})
             while len(rows) + len(fresh) > len(state["scores"]):
                 state["scores"] = np.concatenate([state["scores"], np.zeros_like(state["scores"])])
             if fresh:
                 state["scores"][len(rows) : len(rows) + len(fresh)] = word_scores(vocabulary, table, fresh)
                 rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
+                state["letters"] += sum(map(len, fresh))
 
         def judge(words: list[str]) -> tuple[str, float]:
             if not words:
