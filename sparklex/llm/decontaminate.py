@@ -35,6 +35,8 @@ from .common import id_and_text, row_key
 WINDOW = 10
 GRAM = 5
 BROADCAST_BYTES = 4 << 20
+#: Fingerprints that are written into the plan.
+MAX_KNOWN = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,14 +66,19 @@ def _lows(grams_col: str) -> Column:
     return F.transform(_range(F.size(array) - count + 1), lambda s: F.least(*(F.get(array, s + k) for k in range(count))))
 
 
-def _starts(lows_col: str) -> Column:
+def _starts(lows_col: str, known: list[int] | None = None) -> Column:
     """Windows at which a run of one smallest gram begins, and every ``WINDOW - GRAM + 1``-th.
 
     Any window is thus at most ``WINDOW - GRAM`` behind one of these with the
-    same smallest gram.
+    same smallest gram.  With ``known``, only those whose gram is among them.
     """
     lows, stride = F.col(lows_col), WINDOW - GRAM + 1
-    return F.filter(_range(F.size(lows)), lambda s: (s % stride == 0) | (F.get(lows, s) != F.get(lows, s - 1)))
+
+    def begins(s: Column) -> Column:
+        here = (s % stride == 0) | (F.get(lows, s) != F.get(lows, s - 1))
+        return here if known is None else F.get(lows, s).isin(known) & here
+
+    return F.filter(_range(F.size(lows)), begins)
 
 
 def _text(array: Column, start: Column, length: int) -> Column:
@@ -95,8 +102,11 @@ def benchmark_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     return prints.distinct().withColumn("printed", F.lit(True)), listed.select("window", "list_id"), listed.groupBy("list_id").agg(F.first("items").alias("items"))
 
 
-def _seeds(short_lengths: list[int], with_words: bool) -> Column:
-    """Fingerprints of a document: place, length of the window sought, hash, and the words around."""
+def _seeds(short_lengths: list[int], with_words: bool, known: dict[int, list[int]] | None = None) -> Column:
+    """Fingerprints of a document: place, length of the window sought, hash, and the words around.
+
+    With ``known``, the benchmark's hashes by length, only those among them are made.
+    """
     array = F.col("words")
 
     def seed(at: Column, length: int, hash_: Column, first: Column, count: int) -> Column:
@@ -106,10 +116,13 @@ def _seeds(short_lengths: list[int], with_words: bool) -> Column:
             at.alias("at"), F.lit(length).alias("length"), hash_.alias("hash"), first.alias("first"), inside.alias("count"), around.alias("around")
         )
 
-    found = F.transform(_starts("lows"), lambda i: seed(i, WINDOW, F.get("lows", i), i, 2 * WINDOW - GRAM))
+    found = F.transform(_starts("lows", None if known is None else known.get(WINDOW, [])), lambda i: seed(i, WINDOW, F.get("lows", i), i, 2 * WINDOW - GRAM))
 
     def short(n: int) -> Column:
-        return F.transform(_range(F.size(array) - n + 1), lambda i: seed(i, n, F.xxhash64(_text(array, i, n)), i, n))
+        places = _range(F.size(array) - n + 1)
+        if known is not None:
+            places = F.filter(places, lambda i: F.xxhash64(_text(array, i, n)).isin(known.get(n, [])))
+        return F.transform(places, lambda i: seed(i, n, F.xxhash64(_text(array, i, n)), i, n))
 
     return F.concat(found, *map(short, short_lengths))
 
@@ -168,10 +181,18 @@ def _read(named: DataFrame) -> DataFrame:
 
 
 def _scan_small(named: DataFrame, tables: tuple[DataFrame, DataFrame, DataFrame], short_lengths: list[int]) -> DataFrame:
-    """One pass: every document carries a row of its own through joins with broadcast tables."""
+    """One pass: every document carries a row of its own through joins with broadcast tables.
+
+    If the benchmark's fingerprints are few they are also known where a document's are made, so that only hits become rows.
+    """
     prints, windows, lists = map(F.broadcast, tables)
+    few, known = tables[0].select("length", "hash").limit(MAX_KNOWN + 1).collect(), None
+    if len(few) <= MAX_KNOWN:
+        known = {}
+        for r in few:
+            known.setdefault(r.length, []).append(r.hash)
     own_row = F.array(F.lit(None).cast("struct<at:int,length:int,hash:bigint,first:int,count:int,around:array<string>>"))
-    seeds = _read(named).select(*_KEY, F.size("words").alias("n_words"), F.explode(F.concat(own_row, _seeds(short_lengths, with_words=True))).alias("seed"))
+    seeds = _read(named).select(*_KEY, F.size("words").alias("n_words"), F.explode(F.concat(own_row, _seeds(short_lengths, with_words=True, known=known))).alias("seed"))
     hits = seeds.join(prints, (F.col("seed.length") == prints["length"]) & (F.col("seed.hash") == prints["hash"]), "left").where(F.col("printed") | F.col("seed").isNull())
     no_window = F.array(F.lit(None).cast("struct<start:int,length:int,window:string>"))
     spread = hits.select(*_KEY, "n_words", F.explode(F.when(F.col("seed").isNull(), no_window).otherwise(_windows())).alias("at"))

@@ -36,7 +36,9 @@ def compare(spark, docs, items, **options):
     assert got == sorted((i, *brute(t, items)) for i, t in docs)
 
 
-def test_like_brute_force(spark):
+@pytest.mark.parametrize("known", [d.MAX_KNOWN, 3])
+def test_like_brute_force(spark, monkeypatch, known):
+    monkeypatch.setattr(d, "MAX_KNOWN", known)
     rng = random.Random(2)
     some = lambda n, v: " ".join(rng.choice(v) for _ in range(n))
     many, few = [f"w{i}É" for i in range(300)], ["a", "b"]
